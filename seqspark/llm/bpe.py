@@ -23,6 +23,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -238,8 +239,6 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the bytes that its ids stand for; null ids give null."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def back(xs: pd.Series) -> pd.Series:
         r = ranks(ranks_path)
