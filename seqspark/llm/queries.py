@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, quality, secrets, toxicity
+from . import audio, bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,6 +101,14 @@ FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 """
 
 
+def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no recordings, so each embedding is played as a melody."""
+    return audio.search(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.melody)
+
+
+QUERIES["op10_audio"] = op10_audio
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
