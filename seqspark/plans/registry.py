@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("scalars",)
+MODULES = ("scalars", "alignments", "ranges")
 
 
 def _modules():
