@@ -29,7 +29,7 @@ def rows(spark: SparkSession, sf: str, width: int = 120) -> DataFrame:
     header = F.concat_ws("|", "source", "lang", F.lit("r"), F.concat(F.lit("n"), "doc_id"), F.when(F.col("doc_id") % 2 == 0, "1").otherwise("-2"))
     return nt(spark, sf).select(
         "doc_id",
-        F.concat_ws("_", "source", (F.col("doc_id") % 7).cast("string")).alias("gene"),
+        F.concat(F.lit("g"), (F.col("doc_id") % 11).cast("string")).alias("gene"),
         F.when(F.col("doc_id") % 5 == 0, F.concat(header, F.lit("|."))).otherwise(header).alias("header"),
         (F.col("doc_id") % 5 == 0).alias("is_ref"),
         (1 + F.col("n_chars") % 9).alias("weight"),
@@ -39,7 +39,7 @@ def rows(spark: SparkSession, sf: str, width: int = 120) -> DataFrame:
 
 
 ROWS = f"""{NT}, rows AS (
-  SELECT doc_id, source || '_' || CAST(doc_id % 7 AS VARCHAR) AS gene, doc_id % 5 = 0 AS is_ref, 1 + n_chars % 9 AS weight,
+  SELECT doc_id, 'g' || CAST(doc_id % 11 AS VARCHAR) AS gene, doc_id % 5 = 0 AS is_ref, 1 + n_chars % 9 AS weight,
     concat_ws('|', source, lang, 'r', 'n' || CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '-2' END) || CASE WHEN doc_id % 5 = 0 THEN '|.' ELSE '' END AS header,
     rpad(replace({aa_sql("substr(nt, 1, 360)")}, 'X', '-'), 120, '-') AS seq, rpad(replace({aa_sql("substr(nt, 361, 360)")}, 'X', '-'), 120, '-') AS other
   FROM nt)"""
