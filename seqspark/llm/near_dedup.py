@@ -9,11 +9,14 @@ shared has a shared run of at least (U - d)/(d + 1)); for larger ones the chance
 similarity 0.8 is about 0.8**K, 2e-8.
 
 Short lists (up to SHORT members) give all their pairs. In a long list every member is paired with
-one hub; once the links found so far are joined to components, members outside the list's largest
-component are paired with all its members, SHORT of them a round, until none is left. So a group of thousands
-of copies costs a pair for each member, and no link between different components is lost: there is no cap.
-Pairs pass a bound on sizes, then an estimate from the union's sketch (EASY standard deviations below the
-threshold), then the exact similarity of the full sets. Components come from alternating large and small
+one hub, the member that stands in most long lists. Once the links found so far are joined to components, the members
+of lists that still hold several components are compared anew by prefix filtering, which is exact: their
+shingles are put in order, rare ones first, and only the first fifth of a set opens lists. There,
+members outside a list's largest component are paired with all its members, a growing number of them
+a round, until none is left. So a group of thousands of copies costs about a pair for each member, a passage that many
+documents hold costs nothing, and no link between different components is lost: there is no cap.
+Pairs of the first step pass a bound on sizes, then an estimate from the union's sketch (EASY standard
+deviations below the threshold), all then the exact similarity of the full sets. Components come from alternating large and small
 stars over written tables.
 
 Defined cases: a null or blank text has no shingles, is linked with nothing and is kept; with fewer
@@ -97,7 +100,7 @@ def sketches(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """(gram, id, n, size, hub, hub_n) of the lists that have two members at least."""
+    """(gram, id, n, size) of the lists that have two members at least."""
     import pyarrow as pa
 
     def run(batches):
@@ -107,8 +110,8 @@ def _lists(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), b.column(0).take(pa.array(which)), b.column(1).take(pa.array(which))], names=["gram", "id", "n"])
 
     grams = classes.select("id", "n", "sketch").mapInArrow(run, f"gram long, {_kind(classes)}, n long").repartition("gram")
-    heads = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("hub")).where("size > 1")
-    return grams.join(heads, "gram").select("gram", "id", "n", "size", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    heads = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return grams.join(heads, "gram").select("gram", "id", "n", "size")
 
 
 def _kind(df: DataFrame, c: str = "id") -> str:
@@ -191,31 +194,66 @@ def _pairs_of(short: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "gram").where((F.col("b") < F.col("a")) & _sizes_allow(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def _rounds(long: DataFrame, links: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links that join components of a long list and that its hub could not show; with the components."""
-    done = 0
+def _open_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """The entries of lists whose members are of several components, with component, main (the largest) and outside (members of others)."""
+    placed = lists.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    main = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("parts"))
+    several = main.where("parts > 1").select("gram", F.col("main.component").alias("main"), "size", (F.col("size") - F.col("main.c")).alias("outside"))
+    return placed.join(several, "gram")
+
+
+def _prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """(gram, id, n): the rarest shingles of these sets, of which two linked sets have one in common.
+
+    All sets are put in one order, rare shingles first; if x and y are linked, the first |x| - ceil(0.8 |x|) + 1
+    of x and as many of y (by its own size) share one. Passages that many documents hold come last, so they bring
+    together only documents that hold little else.
+    """
+    some = sets.join(ids, "id", "left_semi").select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("gram")).repartition("gram")
+    often = some.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    ranked = some.join(often, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("s"))
+    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    return ranked.select("id", "n", F.inline(F.slice("s", 1, length))).where("often > 1").select("gram", "id", "n")
+
+
+def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """The components after further links, from the components of the components that these join."""
+    end = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
+    ends = found.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    over = written(components(ends), "over").select(F.col("id").alias("component"), F.col("component").alias("top"))
+    # ids that had no link are components of themselves
+    alone = over.select(F.col("component").alias("id"), "component").join(comp, "id", "left_anti")
+    return comp.unionByName(alone).join(over, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+
+
+def _rounds(long: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The components, also by the links between members of a long list that its hub could not show."""
+    comp = written(components(links), "components")
+    left = written(_open_lists(long, comp), "open")
+    if left.isEmpty():
+        return comp
+    lists = written(_prefixes(sets, left.select("id").distinct(), percent), "prefixes")
+    hubs_at_once = 4
     while True:
-        comp = written(components(links), "components")
-        if done is None:
-            return links, comp
-        placed = long.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        main = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("parts"))
-        open_lists = main.where("parts > 1").select("gram", F.col("main.component").alias("main"), "size", (F.col("size") - F.col("main.c")).alias("outside"))
-        members = written(placed.join(open_lists, "gram"), "members")
+        members = written(_open_lists(lists, comp).select("gram", "id", "n", "component", "main", "outside", "size"), "members")
         if members.isEmpty():
-            return links, comp
-        rank = F.row_number().over(W.partitionBy("gram").orderBy(F.xxhash64("id"), "id"))
-        hubs = members.where("component <> main").withColumn("rank", rank).where(F.col("rank") <= SHORT)
+            return comp
+        few = (F.col("outside") <= hubs_at_once) | (F.col("size") <= SHORT)
+        # whoever stands in most lists is likely to be what the others were copied from
+        weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
+        outside = members.where("component <> main").join(weight, "id")
+        rank = F.row_number().over(W.partitionBy("gram").orderBy(F.col("weight").desc(), "id"))
+        hubs = outside.withColumn("rank", rank).where((F.col("rank") <= hubs_at_once) | few)
         hubs = written(hubs.select("gram", F.col("id").alias("h"), F.col("n").alias("n_h"), F.col("component").alias("c_h")), "hubs")
         pairs = members.join(hubs, "gram").where((F.col("h") != F.col("id")) & (F.col("component") != F.col("c_h")) & _sizes_allow(F.col("n"), F.col("n_h"), percent))
-        pairs = pairs.select(F.greatest("h", "id").alias("a"), F.least("h", "id").alias("b")).distinct()
-        near = written(_estimated(pairs, classes, percent), "near")
-        links = written(links.unionByName(_verified(near, sets, percent)).distinct(), "links")
-        more = members.where(F.col("outside") > SHORT)
-        if more.isEmpty():
-            done = None
-        else:
-            long = written(more.select("gram", "id", "n").join(hubs.select("gram", F.col("h").alias("id")), ["gram", "id"], "left_anti"), "long")
+        pairs = written(pairs.select(F.greatest("h", "id").alias("a"), F.least("h", "id").alias("b")).distinct(), "pairs")
+        found = written(_verified(pairs, sets, percent), "links")
+        if not found.isEmpty():
+            comp = written(_joined(comp, found), "components")
+        # a hub has met all members of its list; a list whose last outsiders were hubs is done
+        lists = members.where(~few).select("gram", "id", "n").join(hubs.select("gram", F.col("h").alias("id")), ["gram", "id"], "left_anti")
+        lists = written(lists, "prefixes")
+        hubs_at_once *= 8
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -227,13 +265,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     lists = written(_lists(classes), "lists")
     short = lists.where(F.col("size") <= SHORT)
     long = lists.where(F.col("size") > SHORT)
-    hubs = long.where(F.col("id") != F.col("hub")).where(_sizes_allow(F.col("n"), F.col("hub_n"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    weight = long.groupBy("id").agg(F.sum("size").alias("weight"))
+    best = long.join(weight, "id").groupBy("gram").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("hub_n")), F.struct("weight", "id")).alias("h")).select("gram", "h.*")
+    hubs = long.join(best, "gram").where((F.col("id") != F.col("hub")) & _sizes_allow(F.col("n"), F.col("hub_n"), percent)).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
     pairs = written(_pairs_of(short, percent).unionByName(hubs).distinct(), "pairs")
     near = written(_estimated(pairs, classes, percent), "near")
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(long.select("id")).distinct()
     sets = written(_full_sets(docs, ids, width, key, text), "sets")
     links = written(_verified(near, sets, percent), "links")
-    links, comp = _rounds(long.select("gram", "id", "n"), links, sets, classes, percent)
+    comp = _rounds(long.select("gram", "id", "n"), links, sets, percent)
     placed = classes.join(comp, "id", "left").select("print", F.coalesce("component", "id").alias("component_id"), "rows")
     total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     joined = join_by_key(named.drop("sketch"), placed, ["print"], "rows", total).select("id", "n", "component_id")

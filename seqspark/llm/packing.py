@@ -30,7 +30,7 @@ from ._shared import text_of, written
 
 WINDOW, END_ID, SHARD_PIECES = 2048, 1, 20_000
 #: Words whose ids a worker holds, and code points that it takes at once: they bound its memory.
-CACHED, CHUNK = 150_000, 1 << 19
+CACHED, CHUNK, TOGETHER = 600_000, 1 << 19, 500
 
 
 class WordIds:
@@ -43,21 +43,42 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {"": b""}
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.marks = {c: self._ids([c])[0] for c in ".,"}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _ids_of_letters(self, words: list[str]) -> list[bytes]:
+        """The same for words of letters only, many at once: each is one piece, whose last token is marked as such."""
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(some):  # letters that only one of the two libraries knows
+                out += self._ids(some)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[begin:end])
+                begin = end
+        return out
+
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """A dictionary that has all these words."""
-        new = words - self.cache.keys()
+        new = words.difference(self.cache)
         if len(self.cache) + len(new) > CACHED:
             self.cache = {"": b""}
-            new = set(words) - self.cache.keys()
+            new = words.difference(self.cache)
         # a word of letters and a full stop or comma is two pieces for the tokenizer, whatever the word
         ended = {w for w in new if w[-1] in self.marks and w[:-1].isalpha()}
-        plain = list((new - ended) | ({w[:-1] for w in ended} - self.cache.keys()))
-        self.cache.update(zip(plain, self._ids(plain), strict=True))
+        plain = (new - ended) | {w[:-1] for w in ended}.difference(self.cache)
+        letters = [w for w in plain if w.isalpha() and "\u0130" not in w]  # that one becomes two pieces in small letters
+        others = list(plain.difference(letters))
+        self.cache.update(zip(letters, self._ids_of_letters(letters), strict=True))
+        self.cache.update(zip(others, self._ids(others), strict=True))
         for w in ended:
             self.cache[w] = self.cache[w[:-1]] + self.marks[w[-1]]
         return self.cache
