@@ -12,8 +12,8 @@ Short lists (up to SHORT members) give all their pairs. In a long list every mem
 one hub, the member that stands in most long lists. Once the links found so far are joined to components, the members
 of lists that still hold several components are compared anew by prefix filtering, which is exact: their
 shingles are put in order, rare ones first, and only the first fifth of a set opens lists. There,
-members outside a list's largest component are paired with all its members, a growing number of them
-a round, until none is left. So a group of thousands of copies costs about a pair for each member, a passage that many
+members outside a list's largest component are paired with the members whose places in that order leave
+enough in common, a growing number of them a round, until none is left. So a group of thousands of copies costs about a pair for each member, a passage that many
 documents hold costs nothing, and no link between different components is lost: there is no cap.
 Pairs of the first step pass a bound on sizes, then an estimate from the union's sketch (EASY standard
 deviations below the threshold), all then the exact similarity of the full sets. Components come from alternating large and small
@@ -203,7 +203,7 @@ def _open_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """(gram, id, n): the rarest shingles of these sets, of which two linked sets have one in common.
+    """(gram, id, n, at): the rarest shingles of these sets, of which two linked sets have one in common, and their places.
 
     All sets are put in one order, rare shingles first; if x and y are linked, the first |x| - ceil(0.8 |x|) + 1
     of x and as many of y (by its own size) share one. Passages that many documents hold come last, so they bring
@@ -213,7 +213,15 @@ def _prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     often = some.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     ranked = some.join(often, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("s"))
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    return ranked.select("id", "n", F.inline(F.slice("s", 1, length))).where("often > 1").select("gram", "id", "n")
+    return ranked.select("id", "n", F.posexplode(F.slice("s", 1, length)).alias("at", "x")).where("x.often > 1").select("x.gram", "id", "n", "at")
+
+
+def _places_allow(n: Column, at: Column, n_h: Column, at_h: Column, percent: int) -> Column:
+    """Whether sets that have their first common shingle at these places can be linked: they share no more than what follows in either.
+
+    For a later common shingle this may say no to a pair that is linked, but not at its first.
+    """
+    return F.least(n - at, n_h - at_h) * (100 + percent) >= (n + n_h) * percent
 
 
 def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
@@ -235,7 +243,7 @@ def _rounds(long: DataFrame, links: DataFrame, sets: DataFrame, percent: int) ->
     lists = written(_prefixes(sets, left.select("id").distinct(), percent), "prefixes")
     hubs_at_once = 4
     while True:
-        members = written(_open_lists(lists, comp).select("gram", "id", "n", "component", "main", "outside", "size"), "members")
+        members = written(_open_lists(lists, comp).select("gram", "id", "n", "at", "component", "main", "outside", "size"), "members")
         if members.isEmpty():
             return comp
         few = (F.col("outside") <= hubs_at_once) | (F.col("size") <= SHORT)
@@ -244,14 +252,15 @@ def _rounds(long: DataFrame, links: DataFrame, sets: DataFrame, percent: int) ->
         outside = members.where("component <> main").join(weight, "id")
         rank = F.row_number().over(W.partitionBy("gram").orderBy(F.col("weight").desc(), "id"))
         hubs = outside.withColumn("rank", rank).where((F.col("rank") <= hubs_at_once) | few)
-        hubs = written(hubs.select("gram", F.col("id").alias("h"), F.col("n").alias("n_h"), F.col("component").alias("c_h")), "hubs")
-        pairs = members.join(hubs, "gram").where((F.col("h") != F.col("id")) & (F.col("component") != F.col("c_h")) & _sizes_allow(F.col("n"), F.col("n_h"), percent))
+        hubs = written(hubs.select("gram", F.col("id").alias("h"), F.col("n").alias("n_h"), F.col("at").alias("at_h"), F.col("component").alias("c_h")), "hubs")
+        other = (F.col("h") != F.col("id")) & (F.col("component") != F.col("c_h"))
+        pairs = members.join(hubs, "gram").where(other & _places_allow(F.col("n"), F.col("at"), F.col("n_h"), F.col("at_h"), percent))
         pairs = written(pairs.select(F.greatest("h", "id").alias("a"), F.least("h", "id").alias("b")).distinct(), "pairs")
         found = written(_verified(pairs, sets, percent), "links")
         if not found.isEmpty():
             comp = written(_joined(comp, found), "components")
         # a hub has met all members of its list; a list whose last outsiders were hubs is done
-        lists = members.where(~few).select("gram", "id", "n").join(hubs.select("gram", F.col("h").alias("id")), ["gram", "id"], "left_anti")
+        lists = members.where(~few).select("gram", "id", "n", "at").join(hubs.select("gram", F.col("h").alias("id")), ["gram", "id"], "left_anti")
         lists = written(lists, "prefixes")
         hubs_at_once *= 8
 
