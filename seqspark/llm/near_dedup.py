@@ -194,9 +194,13 @@ def _pairs_of(short: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "gram").where((F.col("b") < F.col("a")) & _sizes_allow(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def _open_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """The entries of lists whose members are of several components, with component, main (the largest) and outside (members of others)."""
-    placed = lists.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _placed(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """The entries of lists with their components."""
+    return written(lists.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+
+
+def _open_lists(placed: DataFrame) -> DataFrame:
+    """The entries of lists whose members are of several components, with main (the largest) and outside (members of others)."""
     main = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("parts"))
     several = main.where("parts > 1").select("gram", F.col("main.component").alias("main"), "size", (F.col("size") - F.col("main.c")).alias("outside"))
     return placed.join(several, "gram")
@@ -237,13 +241,13 @@ def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
 def _rounds(long: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The components, also by the links between members of a long list that its hub could not show."""
     comp = written(components(links), "components")
-    left = written(_open_lists(long, comp), "open")
+    left = written(_open_lists(_placed(long, comp)).select("id").distinct(), "open")
     if left.isEmpty():
         return comp
-    lists = written(_prefixes(sets, left.select("id").distinct(), percent), "prefixes")
+    placed = _placed(_prefixes(sets, left, percent), comp)
     hubs_at_once = 4
     while True:
-        members = written(_open_lists(lists, comp).select("gram", "id", "n", "at", "component", "main", "outside", "size"), "members")
+        members = written(_open_lists(placed).select("gram", "id", "n", "at", "component", "main", "outside", "size"), "members")
         if members.isEmpty():
             return comp
         few = (F.col("outside") <= hubs_at_once) | (F.col("size") <= SHORT)
@@ -257,11 +261,13 @@ def _rounds(long: DataFrame, links: DataFrame, sets: DataFrame, percent: int) ->
         pairs = members.join(hubs, "gram").where(other & _places_allow(F.col("n"), F.col("at"), F.col("n_h"), F.col("at_h"), percent))
         pairs = written(pairs.select(F.greatest("h", "id").alias("a"), F.least("h", "id").alias("b")).distinct(), "pairs")
         found = written(_verified(pairs, sets, percent), "links")
-        if not found.isEmpty():
-            comp = written(_joined(comp, found), "components")
         # a hub has met all members of its list; a list whose last outsiders were hubs is done
-        lists = members.where(~few).select("gram", "id", "n", "at").join(hubs.select("gram", F.col("h").alias("id")), ["gram", "id"], "left_anti")
-        lists = written(lists, "prefixes")
+        rest = members.where(~few).select("gram", "id", "n", "at", "component").join(hubs.select("gram", F.col("h").alias("id")), ["gram", "id"], "left_anti")
+        if found.isEmpty():
+            placed = written(rest, "placed")
+        else:
+            comp = written(_joined(comp, found), "components")
+            placed = _placed(rest.drop("component"), comp)
         hubs_at_once *= 8
 
 
