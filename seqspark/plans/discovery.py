@@ -17,7 +17,7 @@ def _frames(nt: str, least: int) -> str:
 
 
 def orf_scan(spark, sf):
-    found = V.nt(spark, sf).select("doc_id", F.explode(orfs.orfs(F.substring("nt", 1, 3000), 20)).alias("o"))
+    found = V.nt(spark, sf).select("doc_id", F.explode(orfs.orfs(F.col("nt"), 20)).alias("o"))
     return found.select("doc_id", F.col("o.frame").alias("frame"), F.col("o.aa").alias("aa"))
 
 
@@ -26,7 +26,7 @@ ORACLE["orf_scan"] = f"WITH {V.NT}, h AS (SELECT doc_id, substr(nt, 1, 3000) AS
 
 
 def orf_scan_from_start(spark, sf):
-    found = V.nt(spark, sf).select("doc_id", F.explode(orfs.orfs(F.substring("nt", 1, 3000), 20, True)).alias("o"))
+    found = V.nt(spark, sf).select("doc_id", F.explode(orfs.orfs(F.col("nt"), 20, True)).alias("o"))
     return found.select("doc_id", F.col("o.frame").alias("frame"), F.col("o.aa").alias("aa"))
 
 
@@ -35,7 +35,7 @@ ORACLE["orf_scan_from_start"] = f"WITH {V.NT}, h AS (SELECT doc_id, substr(nt, 1
 
 
 def orf_locations(spark, sf):
-    regions = V.nt(spark, sf).select("doc_id", F.substring("nt", 1, 900).alias("seq"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"))
+    regions = V.nt(spark, sf).select("doc_id", F.col("nt").alias("seq"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"))
     regions = regions.withColumn("region_start", F.col("doc_id") * 1000 + 1).withColumn("region_end", F.col("region_start") + F.length("seq") - 1)
     return orfs.scan_regions(regions, 15).select("doc_id", "strand", "aa", "frame", "hit_start", "hit_end", (F.col("hit_end") - F.col("hit_start") + 1 == 3 * F.length("aa")).alias("fits"))
 
