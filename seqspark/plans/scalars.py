@@ -217,7 +217,7 @@ def low_complexity(spark, sf):
     g AS (SELECT seq, count(*) AS n, min(doc_id) AS first FROM c GROUP BY seq), o AS (SELECT row_number() OVER (ORDER BY first) AS id, seq, n FROM g) SELECT id, seq, n FROM o WHERE n >= 2""",
 )
 def canonical_dedupe(spark, sf):
-    return dedupe.canonical_dedupe(V.nt(spark, sf).select("doc_id", F.substring("nt", 1, 4).alias("seq")), ["doc_id"], min_size=2)
+    return dedupe.canonical_dedupe(V.nt(spark, sf).select("doc_id", F.col("nt").alias("seq")), ["doc_id"], min_size=2)
 
 
 @query("genomic_order", f"""WITH {V.SPANS} SELECT id, line, row_number() OVER (PARTITION BY scaffold ORDER BY start, "end", id, line) AS place FROM spans""")

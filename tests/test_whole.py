@@ -77,3 +77,19 @@ def test_orf_locations_read_to_the_end(spark, long_texts):
     columns = ["doc_id", "strand", "aa", "frame", "hit_start", "hit_end", "fits"]
     assert run(spark, "orf_locations", sf) == values(columns, want)
     against_sql(spark, "orf_locations", ("substr(nt, 1, 900)", "nt"))
+
+
+def test_canonical_dedupe_compares_whole_sequences(spark, tmp_path):
+    rng = random.Random(7)
+    bodies = ["".join(rng.choices("abcdz", k=n)) for n in (50, 50, 900, 5000)]
+    back = bodies[3][::-1].translate(str.maketrans("abcd", "dcba"))
+    # most begin with the same four letters; two differ from an earlier one in their last letter only
+    texts = ["abcd" + b for b in bodies] + [bodies[3], back, "ABCD " + bodies[2], "abcd" + bodies[2] + "a", bodies[3] + "a", "", ""]
+    groups = {}
+    for i, t in enumerate(texts):
+        seq = sequence(t)
+        groups.setdefault(min(seq, seq[::-1].translate(str.maketrans("ACGT", "TGCA"))), []).append(i)
+    want = [(k, seq, len(at)) for k, (seq, at) in enumerate(groups.items(), 1) if len(at) >= 2]
+    assert len(want) == 3
+    assert run(spark, "canonical_dedupe", documents(spark, tmp_path, texts)) == values(["id", "seq", "n"], want)
+    against_sql(spark, "canonical_dedupe", ("substr(nt, 1, 4) AS seq", "nt AS seq"))
