@@ -208,7 +208,7 @@ def splice_sites(spark, sf):
     SELECT nt.doc_id, coalesce(n >= 4 AND fail / n >= 0.5 AND bp >= 100, false) AS low FROM nt LEFT JOIN t USING (doc_id)""",
 )
 def low_complexity(spark, sf):
-    return V.nt(spark, sf).select("doc_id", S.low_complexity(F.substring("nt", 1, 900), dinuc=3.6, trinuc=4.9).alias("low"))
+    return V.nt(spark, sf).select("doc_id", S.low_complexity(F.col("nt"), dinuc=3.6, trinuc=4.9).alias("low"))
 
 
 @query(

@@ -1,5 +1,6 @@
 """Queries over whole texts, against brute force and against their SQL with its cut lifted."""
 
+import math
 import random
 import re
 
@@ -93,3 +94,33 @@ def test_canonical_dedupe_compares_whole_sequences(spark, tmp_path):
     assert len(want) == 3
     assert run(spark, "canonical_dedupe", documents(spark, tmp_path, texts)) == values(["id", "seq", "n"], want)
     against_sql(spark, "canonical_dedupe", ("substr(nt, 1, 4) AS seq", "nt AS seq"))
+
+
+def entropy(words):
+    counts = [words.count(w) for w in set(words)]
+    return (math.log(len(words)) - sum(c * math.log(c) for c in counts) / len(words)) / math.log(2)
+
+
+def is_low(seq):
+    total = fail = bp = 0
+    for s in re.findall("[ACGT]{30,}", seq):
+        size = min(60, len(s))
+        for p in sorted({*range(0, len(s) - size + 1, 15), len(s) - size}) if len(s) > 60 else [0]:
+            w = s[p : p + size]
+            low = entropy([w[i : i + 2] for i in range(size - 1)]) < 3.6 or entropy([w[i : i + 3] for i in range(size - 2)]) < 4.9
+            total, fail, bp = total + 1, fail + low, bp + low * size
+    return total >= 4 and fail / total >= 0.5 and bp >= 100
+
+
+def test_low_complexity_reads_to_the_end(spark, tmp_path):
+    rng = random.Random(11)
+    mixed = lambda n: "".join(rng.choices("abcd", k=n))
+    # the head of 900 says the opposite of the whole in the first two
+    texts = ["a" * 900 + mixed(4000), mixed(900) + "ab" * 2000, mixed(3000), "a" * 3000, mixed(50), "z" * 2000 + "abcd" * 500, ""]
+    want = [(i, is_low(sequence(t))) for i, t in enumerate(texts)]
+    assert [w for _, w in want[:2]] == [is_low(sequence(t)[:900]) is False for t in texts[:2]] == [False, True]
+    assert run(spark, "low_complexity", documents(spark, tmp_path, texts)) == values(["doc_id", "low"], want)
+
+
+def test_low_complexity_against_sql(spark):
+    against_sql(spark, "low_complexity", ("substr(nt, 1, 900) AS nt", "nt"))
