@@ -58,11 +58,15 @@ ORACLE["gap_cull"] = f"WITH {V.CELLS}, k AS (SELECT gene, col FROM cells GROUP B
 
 
 def supersede_natives(spark, sf):
-    """Natives on one strand that recoveries on the same scaffold cover; recoveries are the items of even orders."""
-    s = V.spans(spark, sf).where("strand = '+'")
-    found = s.where("id % 2 = 0").select(F.concat_ws("_", F.lit("GAP"), "id", "line").alias("tag"), "scaffold", "strand", "start", "end", F.lit(False).alias("is_slot"), "id").withColumnRenamed("id", "ord")
-    natives = s.where("id % 2 = 1").select(F.concat_ws("_", F.lit("n"), "id", "line").alias("name"), "scaffold", "strand", "start", "end")
-    return candidates.supersede_natives(found, natives, 2000).select("name", "tag")
+    """Natives that recoveries on the same scaffold and strand cover; recoveries are the items of even orders, a third of them slots."""
+    s = V.spans(spark, sf)
+    slot = F.col("id") % 6 == 0
+    tag = F.concat_ws("_", F.when(slot, "IMX").otherwise("GAP"), "id", "line").alias("tag")
+    found = s.where("id % 2 = 0").select(tag, "scaffold", "strand", "start", "end", slot.alias("is_slot"), (F.col("id") * 10 + F.col("line")).alias("ord"))
+    # (id, line) repeats among the line items, so the place belongs to a native's name while first matches are sought
+    name = F.concat_ws("|", F.concat_ws("_", F.lit("n"), "id", "line"), "scaffold", "strand", "start", "end").alias("name")
+    natives = s.where("id % 2 = 1").select(name, "scaffold", "strand", "start", "end")
+    return candidates.supersede_natives(found, natives, 2000).select(F.substring_index("name", "|", 1).alias("name"), "tag")
 
 
 QUERIES["supersede_natives"] = supersede_natives

@@ -4,11 +4,13 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 
 from seqspark.functions import codons
 from seqspark.functions.views import BASES, LETTERS
 from seqspark.plans import registry
+from seqspark.plans import views as V
 
 from .helpers import oracle, values
 
@@ -124,3 +126,21 @@ def test_low_complexity_reads_to_the_end(spark, tmp_path):
 
 def test_low_complexity_against_sql(spark):
     against_sql(spark, "low_complexity", ("substr(nt, 1, 900) AS nt", "nt"))
+
+
+def test_supersede_natives_on_both_strands_and_slots(spark):
+    spans = duckdb.sql(f"WITH {V.SPANS.replace('FROM lineitem', f'''FROM '{SF}/lineitem.parquet' ''')} SELECT scaffold, strand, id, line, start, \"end\" FROM spans ORDER BY id, line").fetchall()
+    places = {}
+    for scaffold, strand, *item in spans:
+        places.setdefault((scaffold, strand), ([], []))[item[0] % 2].append(item)
+    want = []
+    for found, natives in places.values():
+        for i, line, s, e in natives:
+            slots = 0
+            for gi, gline, gs, ge in found:  # by order and line
+                if (gs <= s and ge >= e) or max(0, min(e, ge) - max(s, gs) + 1) / (e - s + 1) >= 0.8:
+                    slots += gi % 6 == 0
+                    if gi % 6 or slots == 1:
+                        want.append((f"n_{i}_{line}", f"{'GAP' if gi % 6 else 'IMX'}_{gi}_{gline}"))
+    assert any(tag.startswith("IMX") for _, tag in want)
+    assert run(spark, "supersede_natives", SF) == values(["name", "tag"], want)
