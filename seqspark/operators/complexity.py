@@ -22,8 +22,8 @@ def _entropies(codes: np.ndarray, size: int, width: int, starts: np.ndarray) ->
     if per <= 0:
         return np.full(len(starts), 2.0 * width)
     rows = word[starts[:, None] + np.arange(per)]
-    counts = np.zeros((len(starts), 4**width))
-    np.add.at(counts, (np.repeat(np.arange(len(starts)), per), rows.reshape(-1)), 1)
+    cells = rows + np.arange(len(starts))[:, None] * 4**width
+    counts = np.bincount(cells.reshape(-1), minlength=len(starts) * 4**width).reshape(len(starts), -1)
     with np.errstate(divide="ignore", invalid="ignore"):
         part = np.where(counts > 0, counts * np.log(counts), 0).sum(1)
     return (np.log(per) - part / per) / np.log(2)
