@@ -10,7 +10,7 @@ import numpy as np
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text that are taken at once, unless one text is longer: this bounds a worker's memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -19,18 +19,21 @@ LOWER[65:91] += 32
 CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 
 
-def chunks(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts in UTF-8, some at a time, with the number of those before."""
-    held: list[bytes] = []
-    first = size = 0
-    for t in texts:
-        held.append(t.encode())
-        size += len(held[-1])
-        if size >= limit:
-            yield first, held
-            first, held, size = first + len(held), [], 0
-    if held:
-        yield first, held
+def chunks(texts, limit: int = CHUNK, with_rows: bool = False) -> Iterator:
+    """The texts of an Arrow column without nulls, in UTF-8, some at a time; with_rows: with the place of the first."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+    raw = texts.cast("binary")
+    first = 0
+    while first < len(raw):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + limit)))
+        some = raw.slice(first, last - first).to_pylist()
+        yield (first, some) if with_rows else some
+        first = last
+    pa.default_memory_pool().release_unused()
 
 
 @functools.lru_cache(maxsize=2)
@@ -62,7 +65,7 @@ class Words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_end = np.cumsum(lengths)
         self.doc = np.searchsorted(self.text_end, self.begin, side="right")
-        power, inverse = _powers(1 << max(20, int(n).bit_length()))
+        power, inverse = _powers(1 << max(18, int(n).bit_length()))
         chars = LOWER[self.raw] if lower else self.raw
         sums = np.concatenate(([np.uint64(0)], np.cumsum(CODES[chars] * power[:n], dtype=np.uint64)))
         self.hash = mixed((sums[self.end] - sums[self.begin]) * inverse[self.begin] + (self.end - self.begin).astype(np.uint64))

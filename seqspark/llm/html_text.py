@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import join_by_key, written
+from ._shared import join_by_key, small_batches, written
 
 MIN_PAGES, SHARE = 5, 0.3
 
@@ -225,7 +225,7 @@ def templates(pages: DataFrame, url: str = "url", source: str = "html", min_page
                 seen.update((host, x) for x in set(Page(h or "").hashes()[1:]))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "hash", "n"])
 
-    counts = pages.select(url, source).mapInArrow(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
+    counts = small_batches(pages).select(url, source).mapInArrow(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
     # a template stands on min_pages pages at least: what stands on fewer goes before the hosts meet
     some = written(counts.where(F.col("hash").isNull() | (F.col("n") >= min_pages)), "subtrees")
     hosts = some.groupBy("host").agg(F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("n_pages"), F.count(F.lit(1)).alias("entries"))
@@ -254,4 +254,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=[key, "url", "text"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return rows.select("key", "url", "html", "hashes").mapInArrow(run, f"`{key}` {kind}, url string, text string")
+    return small_batches(rows).select("key", "url", "html", "hashes").mapInArrow(run, f"`{key}` {kind}, url string, text string")

@@ -15,7 +15,8 @@ of all documents share gathers nowhere.
 Defined cases: earlier is by id (null last), then by a hash of the text, then by place; runs
 within one document count; a null text stays null; rows repeated whole (id and text) are one document and each
 gets its result; texts of any length are read whole; of a text that loses lines the others are joined by
-line feeds; an empty table gives an empty result; other columns are kept.
+line feeds; an empty table gives an empty result; other columns are kept, whatever their names. A word is a run of
+characters that are no white space, so blanks alone add none.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import join_by_key, written
+from ._shared import erase, fresh, join_by_key, rows_of, small_batches, written
 
 MIN_WORDS = 10
+#: Rows whose texts a worker holds as Python strings at once.
+SLICE = 500
 PLACE = ("no_id", "id", "print", "pos")
 
 
@@ -39,21 +42,23 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            which, pos, words, hashes = [], [], [], []
-            for i, t in enumerate(b.column(3).to_pylist()):
-                p = 0
-                for x in t.split("\n"):
-                    if x := x.strip():
-                        which.append(i)
-                        pos.append(p)
-                        words.append(x.count(" ") + 1)
-                        hashes.append(xxhash.xxh3_128_digest(x.encode()))
-                        p += 1
-            at = pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(3)), pa.array(pos, pa.int32()), pa.array(words, pa.int32()), pa.array(hashes, pa.binary())], names=[*PLACE, "words", "line"])
+            for first in range(0, b.num_rows, SLICE):
+                some = b.slice(first, SLICE)
+                which, pos, words, hashes = [], [], [], []
+                for i, t in enumerate(some.column(3).to_pylist()):
+                    p = 0
+                    for x in t.split("\n"):
+                        if x := x.strip():
+                            which.append(i)
+                            pos.append(p)
+                            words.append(len(x.split()))
+                            hashes.append(xxhash.xxh3_128_digest(x.encode()))
+                            p += 1
+                at = pa.array(which, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(some.column(c).take(at) for c in range(3)), pa.array(pos, pa.int32()), pa.array(words, pa.int32()), pa.array(hashes, pa.binary())], names=[*PLACE, "words", "line"])
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"no_id boolean, id {kind}, print long, pos int, words int, line binary")
+    return small_batches(rows).mapInArrow(run, f"no_id boolean, id {kind}, print long, pos int, words int, line binary")
 
 
 def dense_ranks(df: DataFrame, by: list[str]) -> DataFrame:
@@ -64,21 +69,26 @@ def dense_ranks(df: DataFrame, by: list[str]) -> DataFrame:
     """
     at = F.monotonically_increasing_id()
     placed = df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND((1 << 33) - 1).alias("place"))
-    placed = written(placed, "sorted")
+    placed = written(placed, "sorted", df if hasattr(df, "written_path") else None)
     before, sizes = 0, placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     offsets = []
     for r in sizes:
         offsets.append((r.part, before))
         before += r.n
     first = df.sparkSession.createDataFrame(offsets, "part int, first long")
-    return placed.join(F.broadcast(first), "part").select(*df.columns, (F.col("first") + F.col("place") + 1).alias("rank"))
+    out = placed.join(F.broadcast(first), "part").select(*df.columns, (F.col("first") + F.col("place") + 1).alias("rank"))
+    out.written_path = placed.written_path
+    return out
 
 
 def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """The rows whose by columns others share, with a column name of these columns' ranks."""
-    counts = written(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("shared")).where("shared > 1"), "counts")
+    """The rows whose by columns others share, with a column name of these columns' ranks; written."""
+    counts = written(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("shared")).where("shared > 1"), "counts", rows)
     total = counts.agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0]
-    return join_by_key(rows, dense_ranks(counts, by), by, "shared", total, "inner").withColumnRenamed("rank", name).drop("shared")
+    ranks = dense_ranks(counts, by)
+    out = written(join_by_key(rows, ranks, by, "shared", total, "inner").withColumnRenamed("rank", name).drop("shared"), "ranked", rows)
+    erase(counts, ranks)
+    return out
 
 
 def _doc() -> W:
@@ -91,7 +101,9 @@ def _place(c: Column | None = None) -> Column:
 
 def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(no_id, id, print, pos) of the lines that belong to a later copy of a repeated run."""
-    seq = written(_ranked(lines, ["line"], "rank").drop("line").distinct(), "suffixes")
+    ranked = _ranked(lines, ["line"], "rank")
+    seq = written(ranked.drop("line").distinct(), "suffixes", ranked)
+    erase(ranked)
     levels = [seq.select(*PLACE, F.col("rank").alias("r"))]
     depth = 1
     while 2 * depth <= min_words:
@@ -99,9 +111,12 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         here = levels[-1]
         lead = lambda c, d=depth: F.lead(c, d).over(_doc().orderBy("pos"))
         pairs = here.select(*PLACE, "r", lead("pos").alias("p2"), lead("r").alias("r2")).where(F.col("p2") == F.col("pos") + depth).drop("p2")
-        levels.append(written(_ranked(written(pairs, "pairs"), ["r", "r2"], "rank").select(*PLACE, F.col("rank").alias("r")), "level"))
+        pairs = written(pairs, "pairs", seq)
+        level = _ranked(pairs, ["r", "r2"], "rank")
+        erase(pairs)
+        levels.append(level.select(*PLACE, F.col("rank").alias("r")))
         depth *= 2
-    runs = written(_runs(seq, min_words), "runs")
+    runs = written(_runs(seq, min_words), "runs", seq)
     shared = None
     for k, ranks in enumerate(levels):
         some = runs.where(F.floor(F.log2("m")) == k)
@@ -113,9 +128,10 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
         both = at(at(some, some.pos, "r1"), F.col("pos") + F.col("m") - (1 << k), "r2")
         shared = both if shared is None else shared.unionByName(both)
-    shared = written(shared, "intervals")
-    first = shared.groupBy("m", "r1", "r2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = join_by_key(shared, first, ["m", "r1", "r2"], "n", max(1, shared.count()), "inner").where(F.col("first") != _place())
+    shared = written(shared, "intervals", runs)
+    first = written(shared.groupBy("m", "r1", "r2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first", shared)
+    erase(runs)
+    later = join_by_key(shared, first, ["m", "r1", "r2"], "n", max(1, rows_of(shared)), "inner").where(F.col("first") != _place())
     return later.select("no_id", "id", "print", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("m") - 1)).alias("pos")).distinct()
 
 
@@ -137,34 +153,46 @@ def _runs(seq: DataFrame, min_words: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the texts that are left, and n_lines and n_removed of each (blank lines do not count)."""
+    """docs with the texts that are left, and n_lines and n_removed of each (blank lines do not count).
+
+    Where docs has columns of these names they stay as they are, and the counts get underscores in front; see added().
+    """
     import pyarrow as pa
+    from pyspark.sql.types import LongType, StructField, StructType
 
-    docs = docs.drop("n_lines", "n_removed")
+    counts = added(docs)
+    own, c_id, c_print, c_gone = fresh(docs, "own", "gone_id", "gone_print", "gone")
     lines = written(_lines(docs, key, text), "lines")
-    gone = later_copies(lines, min_words).groupBy("no_id", "id", "print").agg(F.collect_list("pos").alias("_gone"))
-    gone = written(gone, "gone").select(F.col("id").alias("_id"), F.col("print").alias("_print"), "_gone")
-    rows = docs.withColumn("_own", F.xxhash64(text))
-    joined = rows.join(gone.hint("shuffle_hash"), rows[key].eqNullSafe(gone["_id"]) & (rows["_own"] == gone["_print"]), "left").select(*docs.columns, "_gone")
+    gone = later_copies(lines, min_words).groupBy("no_id", "id", "print").agg(F.collect_list("pos").alias("gone"))
+    gone = written(gone, "gone", lines).select(F.col("id").alias(c_id), F.col("print").alias(c_print), F.col("gone").alias(c_gone))
+    erase(lines)
+    rows = docs.withColumn(own, F.xxhash64(text))
+    joined = rows.join(gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(c_id)) & (F.col(own) == F.col(c_print)), "left").select(*docs.columns, c_gone)
     col = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
-            texts, n, lost = [], [], []
-            for t, g in zip(b.column(col).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                parts = [] if t is None else t.split("\n")
-                p, keep, out = 0, [], set(g or ())
-                for x in parts:
-                    full = bool(x.strip())
-                    if not (full and p in out):
-                        keep.append(x)
-                    p += full
-                texts.append("\n".join(keep) if out else t)
-                n.append(p)
-                lost.append(len(out))
-            cols = list(b.columns[:-1])
-            cols[col] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=[*b.schema.names[:-1], "n_lines", "n_removed"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{kinds}, n_lines long, n_removed long")
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                b = whole.slice(first, SLICE)
+                texts, n, lost = [], [], []
+                for t, g in zip(b.column(col).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                    parts = [] if t is None else t.split("\n")
+                    p, keep, out = 0, [], set(g or ())
+                    for x in parts:
+                        full = bool(x.strip())
+                        if not (full and p in out):
+                            keep.append(x)
+                        p += full
+                    texts.append("\n".join(keep) if out else t)
+                    n.append(p)
+                    lost.append(len(out))
+                cols = list(b.columns[:-1])
+                cols[col] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=[*b.schema.names[:-1], *counts])
+
+    return small_batches(joined).mapInArrow(run, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in counts)]))
+
+
+def added(docs: DataFrame) -> list[str]:
+    """The names of the columns that dedup() adds to docs."""
+    return fresh(docs, "n_lines", "n_removed")

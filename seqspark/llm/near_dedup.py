@@ -33,11 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import join_by_key, text_of, written
+from ._shared import erase, join_by_key, join_dealt, rows_of, small_batches, text_of, written
 from ._vector import Words, chunks, mixed
 
 K, SHORT, PERCENT, EASY = 80, 32, 80, 6.0
-PAIRS_PER_SALT = 500
+SLICE = 1000
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -88,15 +88,15 @@ def sketches(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
     def run(batches):
         for b in batches:
             n, prints, some = [], [], []
-            for _, part in chunks(b.column(1).to_pylist()):
+            for part in chunks(b.column(1)):
                 for s in shingle_sets(part, width):
                     n.append(len(s))
                     prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    some.append(s[:K])
+                    some.append(s[:K].copy())  # a view would hold the whole chunk
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(some, pa.list_(pa.int64()))], names=["id", "n", "print", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), text_of(text).alias("text")).mapInArrow(run, f"id {kind}, n long, print binary, sketch array<long>")
+    return small_batches(docs).select(F.col(key).alias("id"), text_of(text).alias("text")).mapInArrow(run, f"id {kind}, n long, print binary, sketch array<long>")
 
 
 def _lists(classes: DataFrame) -> DataFrame:
@@ -105,13 +105,23 @@ def _lists(classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keys = [_grams(np.asarray(s, np.int64)) for s in b.column(2).to_pylist()]
-            which = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), b.column(0).take(pa.array(which)), b.column(1).take(pa.array(which))], names=["gram", "id", "n"])
+            for at in range(0, b.num_rows, SLICE):
+                some = b.slice(at, SLICE)
+                keys = [_grams(s) for s in _arrays(some.column(2))]
+                which = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), some.column(0).take(which), some.column(1).take(which)], names=["gram", "id", "n"])
 
-    grams = classes.select("id", "n", "sketch").mapInArrow(run, f"gram long, {_kind(classes)}, n long").repartition("gram")
-    heads = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return grams.join(heads, "gram").select("gram", "id", "n", "size")
+    grams = written(classes.select("id", "n", "sketch").mapInArrow(run, f"gram long, {_kind(classes)}, n long"), "grams")
+    heads = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "heads", grams)
+    lists = written(join_by_key(grams, heads, ["gram"], "size", rows_of(grams), "inner").select("gram", "id", "n", "size"), "lists", grams)
+    erase(grams, heads)
+    return lists
+
+
+def _arrays(column) -> list[np.ndarray]:
+    """The lists of an Arrow column, without a Python object for each number."""
+    values, ends = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets)
+    return np.split(values, (ends[1:-1] - ends[0])) if len(column) else []
 
 
 def _kind(df: DataFrame, c: str = "id") -> str:
@@ -124,9 +134,7 @@ def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose similarity, estimated by the K smallest values of the union, may reach the threshold."""
-    a = classes.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    b = classes.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    both = _at_hub(pairs.join(a, "a"), b)
+    both = _with_both(pairs, classes.select("id", F.col("sketch").alias("s")))
     low = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), low)) / F.size(low)
     p = percent / 100
@@ -135,54 +143,53 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(shared >= p - slack).select("a", "b")
 
 
-def _at_hub(pairs: DataFrame, right: DataFrame) -> DataFrame:
-    """pairs joined by b; a b with many pairs is copied and its pairs dealt out over the copies."""
-    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_SALT).alias("salts"))
-    wide = salts.where("salts > 1")  # at most one for each PAIRS_PER_SALT pairs
-    dealt = pairs.join(wide, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1)))).drop("salts")
-    copies = right.join(wide, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return dealt.join(copies, ["b", "salt"]).drop("salt")
+def _with_both(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """pairs (a, b; a written table) with sa and sb, the arrays s of both ids; an end with many pairs is dealt out."""
+    a = sides.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+    b = sides.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    return join_dealt(join_dealt(pairs, a, ["a"], ["b"]), b, ["b"], ["a"], pairs)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among the pairs, by the exact similarity of the full sets."""
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    both = _at_hub(pairs.join(a, "a"), b).withColumn("shared", shared)
+    both = _with_both(pairs, sets.select("id", F.col("shingles").alias("s"))).withColumn("shared", shared)
     return both.where(F.col("shared") * 100 >= (F.size("sa") + F.size("sb") - F.col("shared")) * percent).select("a", "b").distinct()
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """(id, shingles) of these ids, a row for each different text."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            out = [s for _, part in chunks(b.column(1).to_pylist()) for s in shingle_sets(part, width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "shingles"])
+            for some in chunks(b.column(1), with_rows=True):
+                rows, part = some
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows, len(part)), pa.array(shingle_sets(part, width), pa.list_(pa.int64()))], names=["id", "shingles"])
 
     rows = docs.select(F.col(key).alias("id"), text_of(text).alias("text"))
     near = rows.join(ids.hint("shuffle_hash"), "id", "left_semi")
-    return near.mapInArrow(run, f"{_kind(rows)}, shingles array<long>").where(F.size("shingles") > 0)
+    once = near.groupBy("id", F.md5("text").alias("own")).agg(F.first("text").alias("text")).select("id", "text")
+    return once.mapInArrow(run, f"{_kind(rows)}, shingles array<long>").where(F.size("shingles") > 0)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in the links (a, b): the smallest id that it reaches."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+def components(links: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(id, component) of every id in the links (a, b), of which of has about as many: the smallest id that it reaches."""
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", of)
     mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     state = mark(edges)
     while state[0]:
         # large star: neighbours above a node meet its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
-        large = join_by_key(both, least, ["u"], "degree", 2 * state[0], "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree")), "least", edges)
+        large = join_by_key(both, least, ["u"], "degree", 2 * state[0], "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: a node and its smaller neighbours meet the smallest of them
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        down = written(down.distinct(), "stars")
-        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
-        small = join_by_key(down, least, ["u"], "degree", max(1, down.count()), "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        before, state = state, mark(edges)
+        down = written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars", edges)
+        below = written(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")), "least", down)
+        small = join_by_key(down, below, ["u"], "degree", max(1, rows_of(down)), "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = written(small.unionByName(below.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges", down)
+        erase(edges, least, down, below)
+        edges, before, state = after, state, mark(after)
         if before == state:
             break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
@@ -194,16 +201,16 @@ def _pairs_of(short: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "gram").where((F.col("b") < F.col("a")) & _sizes_allow(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def _placed(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """The entries of lists with their components."""
-    return written(lists.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+def _placed(lists: DataFrame, comp: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """The entries of lists (or of a part of them) with their components."""
+    return written(lists.select("gram", "id", "n", *(c for c in ("at",) if c in lists.columns)).join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed", lists if hasattr(lists, "written_path") else of)
 
 
 def _open_lists(placed: DataFrame) -> DataFrame:
     """The entries of lists whose members are of several components, with main (the largest) and outside (members of others)."""
     main = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("parts"))
-    several = main.where("parts > 1").select("gram", F.col("main.component").alias("main"), "size", (F.col("size") - F.col("main.c")).alias("outside"))
-    return placed.join(several, "gram")
+    several = written(main.where("parts > 1").select("gram", F.col("main.component").alias("main"), "size", (F.col("size") - F.col("main.c")).alias("outside")), "several", placed)
+    return join_by_key(placed, several, ["gram"], "size", rows_of(placed), "inner")
 
 
 def _prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
@@ -213,11 +220,16 @@ def _prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     of x and as many of y (by its own size) share one. Passages that many documents hold come last, so they bring
     together only documents that hold little else.
     """
-    some = sets.join(ids, "id", "left_semi").select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("gram")).repartition("gram")
-    often = some.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    ranked = some.join(often, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("s"))
+    some = sets.join(ids, "id", "left_semi")
+    some = written(some.select("id", F.xxhash64("shingles").alias("own"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("gram")), "shingles")
+    often = written(some.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often", some)
+    ranked = join_by_key(some, often, ["gram"], "often", rows_of(some)).groupBy("id", "own", "n")
+    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "gram"))).alias("s"))
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    return ranked.select("id", "n", F.posexplode(F.slice("s", 1, length)).alias("at", "x")).where("x.often > 1").select("x.gram", "id", "n", "at")
+    out = ranked.select("id", "n", F.posexplode(F.slice("s", 1, length)).alias("at", "x")).where("x.often > 1").select("x.gram", "id", "n", "at")
+    out = written(out, "prefixes", some)
+    erase(some, often)
+    return out
 
 
 def _places_allow(n: Column, at: Column, n_h: Column, at_h: Column, percent: int) -> Column:
@@ -232,7 +244,7 @@ def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
     """The components after further links, from the components of the components that these join."""
     end = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
     ends = found.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    over = written(components(ends), "over").select(F.col("id").alias("component"), F.col("component").alias("top"))
+    over = written(components(ends, found), "over", found).select(F.col("id").alias("component"), F.col("component").alias("top"))
     # ids that had no link are components of themselves
     alone = over.select(F.col("component").alias("id"), "component").join(comp, "id", "left_anti")
     return comp.unionByName(alone).join(over, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
@@ -240,34 +252,41 @@ def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
 
 def _rounds(long: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The components, also by the links between members of a long list that its hub could not show."""
-    comp = written(components(links), "components")
-    left = written(_open_lists(_placed(long, comp)).select("id").distinct(), "open")
+    comp = written(components(links, links), "components", links)
+    left = written(_open_lists(_placed(long, comp, long)).select("id").distinct(), "open", long)
     if left.isEmpty():
         return comp
-    placed = _placed(_prefixes(sets, left, percent), comp)
+    prefixes = _prefixes(sets, left, percent)
+    placed = _placed(prefixes, comp)
+    erase(prefixes)
     hubs_at_once = 4
     while True:
-        members = written(_open_lists(placed).select("gram", "id", "n", "at", "component", "main", "outside", "size"), "members")
+        members = written(_open_lists(placed).select("gram", "id", "n", "at", "component", "main", "outside", "size"), "members", placed)
         if members.isEmpty():
             return comp
         few = (F.col("outside") <= hubs_at_once) | (F.col("size") <= SHORT)
         # whoever stands in most lists is likely to be what the others were copied from
         weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
-        outside = members.where("component <> main").join(weight, "id")
+        outside = written(members.where("component <> main").join(weight, "id"), "outside", members)
         rank = F.row_number().over(W.partitionBy("gram").orderBy(F.col("weight").desc(), "id"))
-        hubs = outside.withColumn("rank", rank).where((F.col("rank") <= hubs_at_once) | few)
-        hubs = written(hubs.select("gram", F.col("id").alias("h"), F.col("n").alias("n_h"), F.col("at").alias("at_h"), F.col("component").alias("c_h")), "hubs")
+        first = outside.where(~few).withColumn("rank", rank).where(F.col("rank") <= hubs_at_once).drop("rank")  # cut in the tasks before the shuffle
+        hubs = first.unionByName(outside.where(few)).select("gram", F.col("id").alias("h"), F.col("n").alias("n_h"), F.col("at").alias("at_h"), F.col("component").alias("c_h"))
+        hubs = written(hubs, "hubs", outside)
         other = (F.col("h") != F.col("id")) & (F.col("component") != F.col("c_h"))
-        pairs = members.join(hubs, "gram").where(other & _places_allow(F.col("n"), F.col("at"), F.col("n_h"), F.col("at_h"), percent))
-        pairs = written(pairs.select(F.greatest("h", "id").alias("a"), F.least("h", "id").alias("b")).distinct(), "pairs")
-        found = written(_verified(pairs, sets, percent), "links")
+        pairs = join_dealt(members, hubs, ["gram"], ["id"]).where(other & _places_allow(F.col("n"), F.col("at"), F.col("n_h"), F.col("at_h"), percent))
+        pairs = written(pairs.select(F.greatest("h", "id").alias("a"), F.least("h", "id").alias("b")).distinct(), "pairs", members)
+        found = written(_verified(pairs, sets, percent), "links", pairs)
         # a hub has met all members of its list; a list whose last outsiders were hubs is done
         rest = members.where(~few).select("gram", "id", "n", "at", "component").join(hubs.select("gram", F.col("h").alias("id")), ["gram", "id"], "left_anti")
         if found.isEmpty():
-            placed = written(rest, "placed")
+            after = written(rest, "placed", members)
         else:
-            comp = written(_joined(comp, found), "components")
-            placed = _placed(rest.drop("component"), comp)
+            joined = written(_joined(comp, found), "components", comp)
+            after = _placed(rest.drop("component"), joined, members)
+            erase(comp)
+            comp = joined
+        erase(placed, members, outside, hubs, pairs, found)
+        placed = after
         hubs_at_once *= 8
 
 
@@ -277,18 +296,21 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     named = rows.where(F.col("print").isNotNull() & F.col("id").isNotNull())
     groups = named.groupBy("print").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("sketch").alias("sketch"))
     classes = written(groups, "classes")
-    lists = written(_lists(classes), "lists")
+    lists = _lists(classes)
     short = lists.where(F.col("size") <= SHORT)
-    long = lists.where(F.col("size") > SHORT)
+    long = written(lists.where(F.col("size") > SHORT), "long", lists)
     weight = long.groupBy("id").agg(F.sum("size").alias("weight"))
-    best = long.join(weight, "id").groupBy("gram").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("hub_n")), F.struct("weight", "id")).alias("h")).select("gram", "h.*")
-    hubs = long.join(best, "gram").where((F.col("id") != F.col("hub")) & _sizes_allow(F.col("n"), F.col("hub_n"), percent)).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
+    best = long.join(weight, "id").groupBy("gram").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("hub_n")), F.struct("weight", "id")).alias("h"), F.max("size").alias("members"))
+    best = written(best.select("gram", "h.*", "members"), "best", long)
+    met = join_by_key(long, best, ["gram"], "members", rows_of(long), "inner")
+    hubs = met.where((F.col("id") != F.col("hub")) & _sizes_allow(F.col("n"), F.col("hub_n"), percent)).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
     pairs = written(_pairs_of(short, percent).unionByName(hubs).distinct(), "pairs")
-    near = written(_estimated(pairs, classes, percent), "near")
+    near = written(_estimated(pairs, classes, percent), "near", pairs)
+    erase(lists, best, pairs)
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(long.select("id")).distinct()
     sets = written(_full_sets(docs, ids, width, key, text), "sets")
-    links = written(_verified(near, sets, percent), "links")
-    comp = _rounds(long.select("gram", "id", "n"), links, sets, percent)
+    links = written(_verified(near, sets, percent), "links", near)
+    comp = _rounds(long, links, sets, percent)
     placed = classes.join(comp, "id", "left").select("print", F.coalesce("component", "id").alias("component_id"), "rows")
     total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     joined = join_by_key(named.drop("sketch"), placed, ["print"], "rows", total).select("id", "n", "component_id")

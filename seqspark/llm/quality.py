@@ -4,12 +4,13 @@ A document is a bag of passages, its lines, of which long ones are cut every PAS
 passage is described by shape (capitals, digits, symbols, repeats, word lengths and the like), encoded by
 a dense layer, and weighted by gated attention; the weighted mean of the encodings is scored by a
 logistic unit. Only documents have labels, so the attention learns which passages decide. Fitting runs on the
-driver over at most SAMPLE labelled documents, of each at most TRAIN_PASSAGES evenly spaced passages; scoring reads all passages of whole
-texts, batch by batch, with running sums over a document's passages, so memory is bounded by a batch.
+driver over all passages of at most SAMPLE labelled documents, FIT_BATCH documents a step; scoring reads all passages of whole
+texts, some texts at a time: a worker holds the features of about a megabyte of text, or of one longer text.
 
 Defined cases: a null, empty or blank text is one passage without words; repeated rows get equal scores;
 where no label or only one class can be used the score is the smoothed share of the label; an empty table
-gives an empty result; other columns are not read.
+gives an empty result; score() keeps other columns, and where one is called score its own gets underscores in
+front (see added()); classify() does not read them.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import held_out, training_rows
-from ._shared import text_of
+from ._shared import fresh, small_batches, text_of
 from ._vector import Words, chunks
 
-SAMPLE, TRAIN_PASSAGES, PASSAGE_WORDS = 6000, 64, 60
+SAMPLE, FIT_BATCH, PASSAGE_WORDS = 6000, 512, 60
 WIDTH, GATE = 16, 8
 N_FEATURES = 16
 
@@ -110,31 +111,44 @@ class Model:
         at = np.cumsum(per) - per
         return self._forward(x, at, np.repeat(np.arange(len(per)), per))["y"]
 
-    def fit(self, x: np.ndarray, per: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.02, decay: float = 1e-4) -> Model:
-        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+    def gradient(self, x: np.ndarray, per: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """The derivatives of the weighted cross-entropy of these documents by each parameter."""
         at, doc, p = np.cumsum(per) - per, np.repeat(np.arange(len(per)), per), self.p
+        r = self._forward(x, at, doc)
+        d = (r["y"] - y) * weight
+        g = {"c": np.array([d.sum()]), "o": r["z"].T @ d}
+        dz = d[:, None] * p["o"]
+        dh = r["w"][:, None] * dz[doc]
+        dw = (r["h"] * dz[doc]).sum(1)
+        da = r["w"] * (dw - np.add.reduceat(r["w"] * dw, at)[doc])
+        g["a"] = (r["t"] * r["s"]).T @ da
+        dt, ds = da[:, None] * p["a"] * r["s"] * (1 - r["t"] ** 2), da[:, None] * p["a"] * r["t"] * r["s"] * (1 - r["s"])
+        g["V"], g["U"] = r["h"].T @ dt, r["h"].T @ ds
+        dh += dt @ p["V"].T + ds @ p["U"].T
+        dh *= 1 - r["h"] ** 2
+        g["W"], g["b"] = r["f"].T @ dh, dh.sum(0)
+        return g
+
+    def fit(self, x: np.ndarray, per: np.ndarray, y: np.ndarray, steps: int = 600, rate: float = 0.02, decay: float = 1e-4, batch: int = FIT_BATCH, seed: int = 11) -> Model:
+        """Adam over batches of documents, drawn anew in each pass; the rate falls to a tenth."""
+        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+        at, p, rng = np.cumsum(per) - per, self.p, np.random.default_rng(seed)
         share = np.clip(y.mean(), 0.05, 0.95)
-        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5 / len(y)
+        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
         m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+        order = np.zeros(0, np.int64)
         for step in range(1, steps + 1):
-            r = self._forward(x, at, doc)
-            d = (r["y"] - y) * weight
-            g = {"c": np.array([d.sum()]), "o": r["z"].T @ d}
-            dz = d[:, None] * p["o"]
-            dh = r["w"][:, None] * dz[doc]
-            dw = (r["h"] * dz[doc]).sum(1)
-            da = r["w"] * (dw - np.add.reduceat(r["w"] * dw, at)[doc])
-            g["a"] = (r["t"] * r["s"]).T @ da
-            dt, ds = da[:, None] * p["a"] * r["s"] * (1 - r["t"] ** 2), da[:, None] * p["a"] * r["t"] * r["s"] * (1 - r["s"])
-            g["V"], g["U"] = r["h"].T @ dt, r["h"].T @ ds
-            dh += dt @ p["V"].T + ds @ p["U"].T
-            dh *= 1 - r["h"] ** 2
-            g["W"], g["b"] = r["f"].T @ dh, dh.sum(0)
+            if not len(order):
+                order = rng.permutation(len(y))
+            take, order = np.sort(order[:batch]), order[batch:]
+            rows = np.repeat(at[take] - np.cumsum(per[take]) + per[take], per[take]) + np.arange(per[take].sum())
+            g = self.gradient(x[rows], per[take], y[take], weight[take] / len(take))
+            now = rate * (1 - 0.9 * step / steps)
             for k in p:
                 grad = g[k] + decay * p[k]
                 m1[k] += 0.1 * (grad - m1[k])
                 m2[k] += 0.001 * (grad * grad - m2[k])
-                p[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
+                p[k] -= now * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
 
@@ -146,14 +160,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     def featurise(batches):
         for b in batches:
             out = []
-            for _, some in chunks(b.column(0).to_pylist()):
+            for some in chunks(b.column(0)):
                 x, per = passages(some)
-                for part in np.split(x, np.cumsum(per)[:-1]):
-                    out.append(part[np.linspace(0, len(part) - 1, min(len(part), TRAIN_PASSAGES)).astype(int)].astype(np.float32).tobytes())
+                out += [part.astype(np.float32).tobytes() for part in np.split(x, np.cumsum(per)[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.binary())], names=["k", "y", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    data = rows.select("text", key, "y").mapInArrow(featurise, f"k {kind}, y int, x binary").toPandas()
+    data = small_batches(rows).select("text", key, "y").mapInArrow(featurise, f"k {kind}, y int, x binary").toPandas()
     data = data.sort_values(["k", "x"], kind="stable")  # whatever order the tasks end in
     y = data["y"].to_numpy(np.float64)
     model = Model()
@@ -165,25 +178,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     return model.fit(np.concatenate(parts).astype(np.float64), np.array([len(p) for p in parts]), y)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with a column score; the model is a few hundred numbers and goes along with the function."""
     import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    where = docs.columns.index(text) if text in docs.columns else None
-    plain = docs.drop("score")
+    name = added(docs)
+    col = docs.columns.index(text)
 
     def run(batches):
         for b in batches:
-            col = b.column(b.schema.names.index(text)) if where is not None else pa.array([""] * b.num_rows)
-            s = np.concatenate([np.zeros(0)] + [model.scores(*passages(some)) for _, some in chunks([t or "" for t in col.to_pylist()])])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score"])
+            s = np.concatenate([np.zeros(0)] + [model.scores(*passages(some)) for some in chunks(pc.fill_null(b.column(col), ""))])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
+
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(run, f"{kinds}, score double")
+def added(docs: DataFrame) -> str:
+    """The name of the column that score() adds to docs."""
+    return fresh(docs, "score")[0]
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row for each row of docs: key, held_out, score and predicted."""
     rows = docs.select(key, text_of(text).alias("text"))
-    out = score(rows, train(docs, labels, label, key, text), key, "text")
+    out = score(rows, train(docs, labels, label, key, text))
     return out.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,11 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the words of a text and their prefixes of 4 to 6 letters (so inflected forms share one), hashed
-into 2**20 buckets. Spark counts on how many labelled texts of either class each bucket occurs, and the
-N_TERMS buckets of the largest chi-square become the inputs, 1 if a text has the term. The machine adds to the linear weights
+into 2**20 buckets. Spark counts on how many texts of the fitting sample, of either class, each bucket occurs, and of
+those that LEAST texts have the N_TERMS buckets of the largest chi-square become the inputs, 1 if a text has the term; both
+are sizes of the model, like FACTORS. The machine adds to the linear weights
 the products of latent vectors of all pairs of present terms, in time linear in the terms, so that an insult
 together with a group mention may weigh more than both alone. It is fitted by Adam on the driver
-from at most SAMPLE labelled rows, a bound that also limits what is collected.
+from at most SAMPLE labelled documents, a bound that also limits what is collected; scoring reads every term of every text.
 
 Defined cases: null and empty texts have no terms and get the score of the bias; texts of any length are
 read whole; repeated rows get equal scores; where no label or only one class can be used the score is the
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import held_out, training_rows
-from ._shared import text_of
+from ._shared import small_batches, text_of
 
-SAMPLE, N_TERMS, FACTORS, BUCKETS = 10_000, 3000, 8, 1 << 20
+SAMPLE, N_TERMS, LEAST, FACTORS, BUCKETS = 10_000, 3000, 3, 8, 1 << 20
 CACHED = 200_000
+#: Rows whose texts and terms a worker holds at once.
+SLICE = 500
 EDGE = ".,;:!?\"'()[]{}*#%&$<>|-_/\\«»„“”"
 
 
@@ -63,11 +66,14 @@ class Machine:
 
     def logits(self, rows: list) -> np.ndarray:
         out = np.full(len(rows), self.b[0])
-        for i, x in enumerate(rows):
-            if len(x):
-                v = self.v[x]
-                s = v.sum(0)
-                out[i] += self.w[x].sum() + 0.5 * (s @ s - np.einsum("ij,ij->", v, v))
+        sizes = np.array([len(x) for x in rows], np.int64)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            x = np.concatenate([np.asarray(rows[i], np.int64) for i in full])
+            at = np.cumsum(sizes[full]) - sizes[full]
+            s = np.add.reduceat(self.v[x], at, axis=0)
+            own = (self.v**2).sum(1)
+            out[full] += np.add.reduceat(self.w[x], at) + 0.5 * ((s * s).sum(1) - np.add.reduceat(own[x], at))
         return out
 
     def scores(self, rows: list) -> np.ndarray:
@@ -123,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     a, n, whole = F.col("a").cast("double"), F.col("n").cast("double"), float(n1 + n0)
     det = a * whole - n * n1
     chi = det * det / (n * (whole - n + 1e-9) * float(n1) * float(n0))
-    best = counts.where("n >= 3").orderBy(chi.desc(), "t").limit(n_terms).select("t").collect()
+    best = counts.where(F.col("n") >= LEAST).orderBy(chi.desc(), "t").limit(n_terms).select("t").collect()
     chosen = {r.t: i for i, r in enumerate(best)}
     data = featurise(chosen).toPandas()
     order = sorted(range(len(data)), key=lambda i: (data["y"].iat[i], tuple(data["terms"].iat[i])))  # whatever order the tasks end in
@@ -141,11 +147,13 @@ def score(docs: DataFrame, model: tuple[dict[int, int], Machine], key: str = "do
     def run(batches):
         t = Terms(chosen)
         for b in batches:
-            s = machine.scores([t.of(x) for x in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=[key, "score"])
+            for at in range(0, b.num_rows, SLICE):
+                some = b.slice(at, SLICE)
+                s = machine.scores([t.of(x) for x in some.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(s, pa.float64())], names=[key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text_of(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, score double")
+    return small_batches(docs).select(key, text_of(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -42,12 +42,19 @@ def test_stages(spark):
     assert check_packed(docs, out)[0]
 
 
+ODD = ["score", "spans", "n_removed", "N_LINES", "digest", "_print", "_spans", "_gone", "_id", "own", "kept", "id", "print", "shingles", "component"]
+
+
 def test_odd_rows(spark):
-    kinds = "doc_id long, text string, lang string, source string, n_chars long, score string, spans string"
-    rows = [(1, None, None, None, None, "a", "b"), (2, "", "en", "s", 0, "a", "b"), (None, "password=abcdefgh in a row of words that is long enough to go on", "en", "s", 3, "a", "b"), (3, "x", "en", "s", 1, "a", "b"), (3, "x", "en", "s", 1, "a", "b")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in ODD)
+    mine = lambda i: tuple(f"{c} of {i}" for c in ODD)
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "password=abcdefgh in a row of words that is long enough to go on", "en", "s", 3), (3, "x", "en", "s", 1), (3, "x", "en", "s", 1)]
+    rows = [r + mine(r[0]) for r in rows]
     for frame in (spark.createDataFrame(rows, kinds), spark.createDataFrame([], kinds)):
         docs = frame
         for _, stage in cp.STAGES[:-1]:
             docs = written(stage(spark, docs, SF), "t")
             assert docs.columns == frame.columns
+            for r in docs.collect():  # values of other columns are the row's own
+                assert tuple(r[c] for c in ODD) == mine(r.doc_id)
         assert cp.pack(spark, docs, SF).count() == docs.count()

@@ -30,10 +30,56 @@ def test_passages_do_not_depend_on_the_batch():
 def test_gradient_against_differences():
     rng = np.random.default_rng(1)
     x, per, y = rng.normal(size=(40, quality.N_FEATURES)), np.array([3, 1, 6, 10, 20]), np.array([1, 0, 1, 0, 1.0])
-    m = quality.Model().fit(x, per, y, steps=200)
+    m, weight = quality.Model(), np.array([0.1, 0.2, 0.3, 0.2, 0.2])
+
+    def loss():
+        s = brute_scores(m, x, per)
+        return -(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).sum()
+
+    g = m.gradient(x, per, y, weight)
+    for k, v in m.p.items():
+        flat = v.reshape(-1)
+        for i in range(0, len(flat), 7):
+            was, h = flat[i], 1e-6
+            flat[i] = was + h
+            up = loss()
+            flat[i] = was - h
+            down = loss()
+            flat[i] = was
+            assert abs((up - down) / (2 * h) - g[k].reshape(-1)[i]) < 1e-6, (k, i)
+    m.fit(x, per, y, steps=200)
     assert ((m.scores(x, per) >= 0.5) == y).all()
 
 
+def brute_scores(m, x, per):
+    """Gated attention, a document and a passage at a time."""
+    out, at = [], 0
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for n in per:
+        h = [np.tanh(np.clip((r - m.mean) / m.scale, -6, 6) @ m.p["W"] + m.p["b"]) for r in x[at : at + n]]
+        e = [np.exp(m.p["a"] @ (np.tanh(v @ m.p["V"]) * sigmoid(v @ m.p["U"]))) for v in h]
+        z = sum(a * v for a, v in zip(e, h, strict=True)) / sum(e)
+        out.append(sigmoid(z @ m.p["o"] + m.p["c"][0]))
+        at += n
+    return np.array(out)
+
+
+def test_query_scores_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in queries.op6_quality(spark, sf).collect()}
+    for r in docs.collect():
+        x, per = quality.passages([(r.text or "").encode()])
+        assert abs(brute_scores(model, x, per)[0] - got[r.doc_id]) < 1e-9
+
+
+def test_a_column_called_score_stays(spark):
+    df = spark.createDataFrame([(1, "some words", "mine"), (2, None, "yours")], "doc_id long, text string, Score string")
+    out = quality.score(df, quality.Model())
+    assert out.columns == ["doc_id", "text", "Score", "_score"] and {r.Score for r in out.collect()} == {"mine", "yours"}
+
+
 def test_frames(spark):
     docs = [(i, "Plain and calm words that go on for a while. " * 3 if i % 2 else "BUY!! NOW!! " * 20) for i in range(60)] + [(None, None), (61, ""), (1, "Plain and calm words that go on for a while. " * 3), (62, "x " * 50000)]
     df = spark.createDataFrame([(i, t, "s", 1) for i, t in docs], SCHEMA)
