@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import os
+import string
 import zlib
 
 import numpy as np
@@ -26,11 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import text_of, written
+from ._shared import small_batches, text_of, written
 
 WINDOW, END_ID, SHARD_PIECES = 2048, 1, 20_000
-#: Words whose ids a worker holds, and code points that it takes at once: they bound its memory.
-CACHED, CHUNK, TOGETHER = 600_000, 1 << 19, 500
+#: Words whose ids a worker holds, and bytes of text that it takes at once: they bound its memory.
+CACHED, CHUNK, TOGETHER = 400_000, 1 << 21, 500
+SIGNS = string.punctuation
 
 
 class WordIds:
@@ -45,7 +47,6 @@ class WordIds:
         self.cache: dict[str, bytes] = {"": b""}
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.marks = {c: self._ids([c])[0] for c in ".,"}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -66,40 +67,52 @@ class WordIds:
                 begin = end
         return out
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """A dictionary that has all these words."""
-        new = words.difference(self.cache)
-        if len(self.cache) + len(new) > CACHED:
-            self.cache = {"": b""}
-            new = words.difference(self.cache)
-        # a word of letters and a full stop or comma is two pieces for the tokenizer, whatever the word
-        ended = {w for w in new if w[-1] in self.marks and w[:-1].isalpha()}
-        plain = (new - ended) | {w[:-1] for w in ended}.difference(self.cache)
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of these distinct words."""
+        known = self.cache
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHED:
+            known = self.cache = {"": b""}
+            new = words
+        # a word of letters and signs of ASCII behind them is two pieces for the tokenizer, whatever the word
+        ended, plain = [], set()
+        for w in new:
+            stem = w.rstrip(SIGNS)
+            if stem and stem != w and stem.isalpha():
+                ended.append((w, stem, w[len(stem) :]))
+            else:
+                plain.add(w)
+        plain.update(x for _, stem, tail in ended for x in (stem, tail) if x not in known)
         letters = [w for w in plain if w.isalpha() and "\u0130" not in w]  # that one becomes two pieces in small letters
         others = list(plain.difference(letters))
-        self.cache.update(zip(letters, self._ids_of_letters(letters), strict=True))
-        self.cache.update(zip(others, self._ids(others), strict=True))
-        for w in ended:
-            self.cache[w] = self.cache[w[:-1]] + self.marks[w[-1]]
-        return self.cache
-
-    def encode(self, texts: list[str]):
-        """The ids of each text as bytes."""
-        held: list[list[str]] = []
-        size = 0
-        for t in texts:
+        known.update(zip(letters, self._ids_of_letters(letters), strict=True))
+        known.update(zip(others, self._ids(others), strict=True))
+        for w, stem, tail in ended:
+            known[w] = known[stem] + known[tail]
+        return list(map(known.__getitem__, words))
+
+    def encode(self, texts):
+        """The ids of each text of a list or an Arrow array without nulls, as bytes."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        sizes = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+        first = 0
+        while first < len(texts):
+            before = sizes[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, before + CHUNK)))
+            some = texts.slice(first, last - first)
             # letters of ASCII are lowered here so that fewer words differ; the tokenizer lowers the others
-            held.append(t.encode().lower().decode().replace("\n", " ").split(" "))
-            size += len(t)
-            if size >= CHUNK:
-                yield from self._encode(held)
-                held, size = [], 0
-        yield from self._encode(held)
-
-    def _encode(self, texts: list[list[str]]):
-        get = self.learn(set().union(*texts)).__getitem__
-        for words in texts:
-            yield b"".join(map(get, words))
+            split = pc.split_pattern(pc.replace_substring(pc.ascii_lower(some), "\n", " "), " ")
+            words = split.flatten().dictionary_encode()
+            ids = pa.array(self.learn(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+            ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1]
+            cuts = ends[np.asarray(split.offsets)].tolist()
+            data = memoryview(ids.buffers()[2] or b"")
+            for i in range(len(some)):
+                yield data[cuts[i] : cuts[i + 1]]
+            first = last
 
 
 @functools.lru_cache(maxsize=2)
@@ -117,18 +130,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
         coder = word_ids(tokenizer_path)
         for b in batches:
             which, cols = [], ([], [], [], [])
-            for i, ids in enumerate(coder.encode([t or "" for t in b.column(1).to_pylist()])):
-                ids = memoryview(ids + end)
-                total = len(ids) // 4
+            for i, ids in enumerate(coder.encode(b.column(1))):
+                total = len(ids) // 4 + 1
                 for at in range(0, total, window):
                     part = ids[4 * at : 4 * (at + window)]
+                    crc, last = zlib.crc32(part), at + window >= total
                     which.append(i)
-                    for c, v in zip(cols, (at, len(part) // 4, zlib.crc32(part), total), strict=True):
+                    for c, v in zip(cols, (at, len(part) // 4 + last, zlib.crc32(end, crc) if last else crc, total), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=[key, "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text_of(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return small_batches(docs).select(key, text_of(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class Capacities:
