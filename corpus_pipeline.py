@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.llm import line_dedup, near_dedup, packing, quality, secrets
-from seqspark.llm._shared import written
+from seqspark.llm._shared import fresh, written
 
 #: No document whose score reaches this is rejected; low, so that clean documents stay.
 QUALITY_THRESHOLD = 0.3
@@ -24,33 +24,53 @@ def _columns(docs: DataFrame) -> list[str]:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on documents and labels, rejects go."""
+    """Documents that the classifier, trained on documents and labels, rejects go.
+
+    A null or empty text is scored as one passage without words; rows repeated go or stay together; with no labels to learn
+    from all get one score; columns of any name stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels)
-    return quality.score(docs, model).where(F.col("score") >= QUALITY_THRESHOLD).select(*_columns(docs))
+    return quality.score(docs, model).where(F.col(quality.added(docs)) >= QUALITY_THRESHOLD).select(*_columns(docs))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; a document that has lost all its lines goes too."""
-    out = line_dedup.dedup(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    """Later copies of repeated line runs go; a document that has lost all its lines goes too.
+
+    Null and empty texts stay; rows repeated whole are one document; of equal ids the smaller hash of the text is earlier;
+    n_chars, if there, is measured anew; other columns of any name stay.
+    """
+    lines, removed = line_dedup.added(docs)
+    out = line_dedup.dedup(docs).where((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
     return _measured(out.select(*_columns(docs)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    Rows of a null id and texts without words stay; rows repeated with an id are one document and stay or go together.
+    """
     decided = near_dedup.link(docs, width=WIDTH, percent=PERCENT)
     gone = decided.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*_columns(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of a secret is replaced by a mask, from the last to the first; overlapping spans are one."""
-    rows = docs.withColumn("_print", F.md5("text"))  # spans depend on the text alone
-    found = secrets.spans(rows, key="_print").where(F.size("spans") > 0).dropDuplicates(["_print"])
-    found = found.select("_print", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_spans"))
-    joined = rows.join(found.hint("shuffle_hash"), "_print", "left")
+    """Every span of a secret is replaced by a mask; overlapping spans are one.
+
+    Null and empty texts stay as they are; equal texts get equal masks; n_chars, if there, is measured anew; other columns of
+    any name stay. Spans depend on the text alone, so they come back by its digest; a text without characters has no
+    spans and is dealt out by its place.
+    """
+    name, at = fresh(docs, "digest", "spans")
+    bare = F.coalesce(F.length("text"), F.lit(0)) == 0
+    rows = docs.withColumn(name, F.when(bare, F.concat(F.lit("-"), F.monotonically_increasing_id())).otherwise(F.md5("text")))
+    texts = docs.where(~bare).select(F.md5("text").alias(name), F.col("text").alias("text"))
+    found = secrets.spans(texts, key=name).where(F.size("spans") > 0).dropDuplicates([name])
+    found = found.select(name, F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(at))
+    joined = rows.join(found.hint("shuffle_hash"), name, "left")
     merged = F.aggregate(
-        F.col("_spans"),
+        F.col(at),
         F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
             F.struct(
@@ -60,12 +80,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         ),
         lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(merged)
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(merged)
     return _measured(joined.withColumn("text", text).select(*_columns(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 2048 tokens."""
+    """Pieces of the documents in windows of 2048 tokens; a null text is the end id alone, rows repeated are packed as often."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
