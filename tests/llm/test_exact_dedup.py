@@ -48,3 +48,23 @@ def test_hot_group_and_empty_table(spark):
 
 def test_query_against_sql(spark):
     assert rows(queries.op2_exact_dedup(spark, "/root/testdata/sf0.01")) == oracle_rows(queries.ORACLE["op2_exact_dedup"])
+
+
+def test_runs_are_merged_through_their_filters(spark):
+    """Entries that the filter rules out are in no other run; what it lets pass is merged by the digest."""
+    index = exact_dedup.MergeIndex(spark)
+    rows = [(i % 700, 5 + i % 3, i) for i in range(2000)]
+    log = spark.createDataFrame(rows, "n long, n_points int, id long").repartition(7)
+    index.flush(log.select(F.unhex(F.sha2(F.col("n").cast("string"), 256)).alias("digest"), F.lit("").alias("sha"), "n_points", "id"))
+    assert len(index.runs) == exact_dedup.RUNS
+    for run in index.runs:
+        assert run.count() == run.select("digest").distinct().count()
+    one, other = index.runs[:2]
+    bits = {r["range"]: bytes(r.bits) for r in index.filter_of(one, 3).collect()}
+    assert sum(bin(b).count("1") for x in bits.values() for b in x) > 0.9 * one.count()
+    want = {}
+    for n, size, i in rows:
+        best, count = want.get(n, ((0, 0), 0))
+        want[n] = (min(best, (-size, i)) if count else (-size, i), count + 1)
+    got = {(r.keep_id, r.group_size) for r in index.compact().collect()}
+    assert got == {(best[1], count) for best, count in want.values()}
