@@ -4,8 +4,9 @@ Every page is parsed to a tree and every element's subtree is hashed (tag, class
 counts on how many pages of its host a subtree stands; one that stands on at least MIN_PAGES pages and
 SHARE of the host's pages is template and goes. Inside an article that rule spares running text (paragraphs,
 headings, quotes, tables, inline elements), as articles share passages. What names itself a menu,
-header, footer, sidebar, notice, advert, form, script, style or reader comments goes in any case.
-What is left of the longest article (else main, else body, where link lists go too) is the text.
+header, footer, sidebar, notice, advert, form, script, style or reader comments goes in any case; outside of articles also
+what names itself a list of related or shared things, a search or a widget. What is left of all articles that stand in no other
+(else main, else body, where blocks of links go too) is the text.
 
 Counting is by (host, hash) with sums made in the workers first; a host's list of templates holds at most
 1/SHARE times the subtrees of a page, and reaches the pages by join_by_key, which spreads a hot host's pages.
@@ -41,9 +42,12 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 FENCE = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
 GONE = frozenset("head script style noscript template nav footer aside form button select textarea input iframe svg canvas object embed applet menu dialog title audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+#: Words of a class or id that name what is no main text, wherever it stands.
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies notice notices consent gdpr popup modal overlay newsletter subscribe subscription signup share sharing social sidebar related recommended recommendations trending comment comments disqus replies reply respond breadcrumb breadcrumbs menu nav navbar navigation footer pagination pager toolbar login search widget widgets skip masthead topbar".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies notice notices consent gdpr popup modal overlay newsletter sidebar comment comments disqus replies breadcrumb breadcrumbs menu nav navbar navigation footer masthead topbar".split()
 )
+#: The same, but within an article such a block may be part of it.
+OUTER_WORDS = frozenset("promotion subscribe subscription signup share sharing social related recommended recommendations trending reply respond pagination pager toolbar login search widget widgets skip".split())
 
 
 class Page:
@@ -143,7 +147,7 @@ class Page:
             words, out = self.marks(n)
             heads = (tags[n] == "header" or "header" in words) and not in_article[n]
             template = bool(templates) and hashed[n] in templates and not (in_article[n] and tags[n] in RUNNING) and tags[n] not in ("html", "body", "article", "main")
-            own = tags[n] not in ("html", "body") and (named[n] or out or heads or bool(words & WORDS))
+            own = tags[n] not in ("html", "body") and (named[n] or out or heads or bool(words & WORDS) or not in_article[p] and bool(words & OUTER_WORDS))
             gone[n] = gone[p] or own or template
         sizes = [0] * n_nodes
         linked = [0] * n_nodes
@@ -154,21 +158,24 @@ class Page:
             linked[n] = sizes[n] if tags[n] == "a" else linked[n]
             sizes[self.parent[n]] += sizes[n]
             linked[self.parent[n]] += linked[n]
-        root = 0
+        roots: list[int] = []
         for kind in ("article", "main"):
-            found = [n for n in range(1, n_nodes) if not gone[n] and (tags[n] == kind or kind == "main" and "main" in self.attrs[n] and self._is_main(n)) and sizes[n]]
-            if found:
-                root = max(found, key=lambda n: (sizes[n], -n))
+            for n in range(1, n_nodes):  # in page order; what stands within a root belongs to it
+                if not gone[n] and sizes[n] and not (roots and n <= self.last[roots[-1]]) and (tags[n] == kind or kind == "main" and "main" in self.attrs[n] and self._is_main(n)):
+                    roots.append(n)
+            if roots:
                 break
         out: list[str] = []
-        stop = self.last[root] if root else n_nodes - 1
+        within = [not roots] * n_nodes
+        for r in roots:
+            within[r : self.last[r] + 1] = [True] * (self.last[r] + 1 - r)
         lists = [False] * n_nodes
-        if not root:
+        if not roots:
             for n in range(1, n_nodes):
                 lists[n] = lists[self.parent[n]] or tags[n] in ("ul", "ol", "div", "section", "table", "p") and sizes[n] > 0 and linked[n] > 0.6 * sizes[n]
-        before = root
+        before = roots[0] if roots else 0
         for n, t in self.items:
-            if not root <= n <= stop:
+            if not within[n]:
                 continue
             if before != n:  # a boundary of a block between two texts parts them
                 if tags[n] not in INLINE or tags[before] not in INLINE:

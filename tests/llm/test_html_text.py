@@ -24,6 +24,12 @@ def test_markup():
     assert text("<article>open <b>tag <i unclosed") == "open tag <i unclosed"
 
 
+def test_all_articles_and_blocks_that_only_look_like_a_menu():
+    assert text("<body><article>one</article><div class=related>r</div><article>two <article>three</article></article></body>") == "one two three"
+    assert text('<article><div class="search-results">found</div><p class="notice">cookies</p><section class="related">more</section>x</article>') == "found more x"
+    assert text('<main><div class="search-results">found</div>x</main>') == "x"
+
+
 def test_templates_by_recurrence(spark):
     page = lambda i, extra="": f'<html><body><div><p>Same line on the site</p><span>x</span></div><p>own text {i}</p>{extra}</body></html>'
     art = lambda i: f"<article><div><div>Share this page</div></div><p>Shared passage</p><p>story {i}</p></article>"
