@@ -211,6 +211,13 @@ def is_reference(header: Column) -> Column:
     return header.endswith(".")
 
 
+def spliced(nt: Column, first: Column, count: Column) -> Column:
+    """Whether a block of residues (first, count) reads, in one phase, from a donor GT or GC to an acceptor AG, over 30 bases or more."""
+    up, a, b = F.upper(nt), first * 3, (first + count) * 3
+    one = lambda p: F.substring(up, a + (p + 1), F.lit(2)).isin("GT", "GC") & (F.substring(up, b + (p - 1), F.lit(2)) == "AG") & (b + p <= F.length(up))
+    return (b - a >= 30) & (one(0) | one(1) | one(2))
+
+
 def n_chunks(seq: Column, min_length: int) -> Column:
     """The stretches without N that have min_length bases."""
     return F.filter(F.split(seq, "[Nn]", -1), lambda c: F.length(c) >= min_length)

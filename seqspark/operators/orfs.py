@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,29 +11,39 @@ from seqspark.functions import codons
 from seqspark.functions import sequences as S
 
 
+ORF = "array<struct<aa:string,frame:int,nt_start:int,nt_end:int,nt:string>>"
+
+
+def stretches(seq: str, min_aa: int, require_start: bool, code: np.ndarray, residues: np.ndarray) -> list[dict]:
+    """The reading frames of one sequence: all stops of a frame are found at once."""
+    out = []
+    for f in range(3):
+        aa = codons.residues_of(seq, code, residues, f)
+        stops = np.flatnonzero(aa == ord("*"))
+        begins, ends = np.concatenate(([0], stops + 1)), np.append(stops, len(aa))
+        if require_start:  # the first M from each begin on
+            starts = np.append(np.flatnonzero(aa == ord("M")), len(aa))
+            begins = starts[np.searchsorted(starts, begins)]
+        for i in np.flatnonzero((ends - begins >= min_aa) & (ends > begins)).tolist():
+            a, b = int(begins[i]), int(ends[i])
+            out.append({"aa": aa[a:b].tobytes().decode(), "frame": f, "nt_start": f + 3 * a, "nt_end": f + 3 * b, "nt": seq[f + 3 * a : f + 3 * b]})
+    out.sort(key=lambda o: (-len(o["aa"]), o["frame"], o["nt_start"]))
+    return out
+
+
 def orfs(seq: Column, min_aa: int, require_start: bool = False) -> Column:
     """Every stop-to-stop stretch of the three forward frames with min_aa residues, longest first.
 
     An array of (aa, frame, nt_start, nt_end, nt); frame is 0 to 2, nt positions are 0-based and half-open.
     With require_start a stretch begins at its first M, or is left out. Stretches that lie within others stay.
     """
+    code, residues = codons.residue_table(1, uracil=False)
 
-    def in_frame(f: int) -> Column:
-        aa = codons.translate(F.substring(seq, F.lit(f + 1), F.length(seq)), uracil=False)
-        found = S.regions(aa, r"[^*]+")
-
-        def one(r: Column) -> Column:
-            skip = F.instr(r["text"], F.lit("M")) - 1 if require_start else F.lit(0)
-            text = F.substring(r["text"], skip + 1, F.length(r["text"]))
-            start = F.lit(f) + 3 * (r["start"] + skip)
-            return F.struct(text.alias("aa"), F.lit(f).alias("frame"), start.alias("nt_start"), (start + 3 * F.length(text)).alias("nt_end"), skip.alias("skip"))
-
-        return F.filter(F.transform(found, one), lambda o: (o["skip"] >= 0) & (F.length(o["aa"]) >= min_aa))
+    @F.pandas_udf(ORF)
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else stretches(x, min_aa, require_start, code, residues) for x in s], dtype=object)
 
-    every = F.concat(*(in_frame(f) for f in range(3)))
-    # frames are joined in order and the sort keys end with frame and start, so it is stable
-    keyed = F.transform(every, lambda o: F.struct((-F.length(o["aa"])).alias("k"), o["frame"].alias("frame"), o["nt_start"].alias("nt_start"), o["nt_end"].alias("nt_end"), o["aa"].alias("aa")))
-    return F.transform(F.array_sort(keyed), lambda o: F.struct(o["aa"].alias("aa"), o["frame"].alias("frame"), o["nt_start"].alias("nt_start"), o["nt_end"].alias("nt_end"), F.substring(seq, o["nt_start"] + 1, o["nt_end"] - o["nt_start"]).alias("nt")))
+    return run(seq)
 
 
 def locate(start: Column, end: Column, region_start: Column, region_end: Column, strand: Column) -> Column:

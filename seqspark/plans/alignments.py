@@ -55,7 +55,7 @@ _KEEP = "keep AS (SELECT gene, col FROM cells GROUP BY gene, col HAVING bool_or(
 
 @_query(
     "drop_empty_columns",
-    f"WITH {V.CELLS}, {_KEEP} SELECT r.header, coalesce(string_agg(substr(r.seq, k.col + 1, 1), '' ORDER BY k.col), '') AS seq FROM rows r LEFT JOIN keep k ON k.gene = r.gene GROUP BY r.header, r.doc_id",
+    f"WITH {V.CELLS}, {_KEEP} SELECT r.header, coalesce(string_agg(substr(r.seq, k.col + 1, 1), '' ORDER BY k.col), '') AS seq FROM rows r LEFT JOIN keep k ON k.gene = r.gene GROUP BY r.header, r.row_id",
 )
 def drop_empty_columns(spark, sf):
     return C.drop_empty_columns(V.rows(spark, sf).select("header", "gene", "seq"), "gene").select("header", "seq")
@@ -69,7 +69,7 @@ def ref_occupancy(spark, sf):
     return C.occupancy(V.rows(spark, sf).where("is_ref"), "gene").withColumn("gap_share", F.round("gap_share", 9))
 
 
-@_query("reference_columns", f"WITH {V.CELLS} SELECT gene, col, ch, count(*) AS n FROM cells c WHERE is_ref AND inside AND EXISTS (SELECT 1 FROM rows r WHERE r.doc_id = c.doc_id AND replace(r.seq, '-', '') <> '') GROUP BY ALL")
+@_query("reference_columns", f"WITH {V.CELLS} SELECT gene, col, ch, count(*) AS n FROM cells c WHERE is_ref AND inside AND EXISTS (SELECT 1 FROM rows r WHERE r.row_id = c.row_id AND replace(r.seq, '-', '') <> '') GROUP BY ALL")
 def reference_columns(spark, sf):
     return C.reference_columns(V.rows(spark, sf).where("is_ref"), "gene")
 
@@ -100,15 +100,15 @@ def pssm_stop_trim(spark, sf):
 @_query(
     "score_window",
     f"""WITH {_pssm_sql('''ch NOT IN ('-', '.')''')}, tops AS (SELECT DISTINCT gene, col, col_max FROM pssm), full_max AS (SELECT gene, sum(col_max) AS full_max FROM tops GROUP BY gene),
-    c AS (SELECT x.gene, x.doc_id, x.ch, t.col, t.col_max FROM cells x JOIN tops t USING (gene, col) WHERE NOT is_ref AND ch NOT IN ('-', '.')),
-    sc AS (SELECT c.gene, c.doc_id, count(*) AS residues, sum(coalesce(p.score, -4.0)) AS score, sum(c.col_max) AS covered_max FROM c LEFT JOIN pssm p ON p.gene = c.gene AND p.col = c.col AND p.aa = c.ch GROUP BY ALL)
-    SELECT doc_id, residues, round(score::DOUBLE, 6) AS score, round((score / full_max * 100)::DOUBLE, 6) AS full, round((score / covered_max * 100)::DOUBLE, 6) AS covered FROM sc JOIN full_max USING (gene)""",
+    c AS (SELECT x.gene, x.row_id, x.ch, t.col, t.col_max FROM cells x JOIN tops t USING (gene, col) WHERE NOT is_ref AND ch NOT IN ('-', '.')),
+    sc AS (SELECT c.gene, c.row_id, count(*) AS residues, sum(coalesce(p.score, -4.0)) AS score, sum(c.col_max) AS covered_max FROM c LEFT JOIN pssm p ON p.gene = c.gene AND p.col = c.col AND p.aa = c.ch GROUP BY ALL)
+    SELECT row_id, residues, round(score::DOUBLE, 6) AS score, round((score / full_max * 100)::DOUBLE, 6) AS full, round((score / covered_max * 100)::DOUBLE, 6) AS covered FROM sc JOIN full_max USING (gene)""",
 )
 def score_window(spark, sf):
     rows = V.rows(spark, sf)
     p = C.pssm(rows.where("is_ref"), "gene", 10, 90)
-    out = C.score_window(rows.where("NOT is_ref"), p, "gene", 10, 90, "doc_id")
-    return out.select("doc_id", "residues", *(F.round(c, 6).alias(c) for c in ("score", "full", "covered")))
+    out = C.score_window(rows.where("NOT is_ref"), p, "gene", 10, 90, "row_id")
+    return out.select("row_id", "residues", *(F.round(c, 6).alias(c) for c in ("score", "full", "covered")))
 
 
 @_query(
@@ -139,34 +139,34 @@ def median_span(spark, sf):
 
 @_query(
     "residue_blocks",
-    f"""WITH {V.CELLS}, r AS (SELECT doc_id, col, col - row_number() OVER (PARTITION BY doc_id ORDER BY col) AS island FROM cells WHERE ch <> '-') SELECT doc_id, min(col)::INT AS start, max(col)::INT AS "end", count(*) AS n FROM r GROUP BY doc_id, island""",
+    f"""WITH {V.CELLS}, r AS (SELECT row_id, col, col - row_number() OVER (PARTITION BY row_id ORDER BY col) AS island FROM cells WHERE ch <> '-') SELECT row_id, min(col)::INT AS start, max(col)::INT AS "end", count(*) AS n FROM r GROUP BY row_id, island""",
 )
 def residue_blocks(spark, sf):
     from seqspark.operators.intervals import blocks
 
-    return blocks(C.cells(V.rows(spark, sf), "doc_id", span=False).where("ch <> '-'"), ["doc_id"], "col")
+    return blocks(C.cells(V.rows(spark, sf), "row_id", span=False).where("ch <> '-'"), ["row_id"], "col")
 
 
 @_query(
     "bridged_blocks",
-    f"""WITH {V.CELLS}, r AS (SELECT doc_id, col, CASE WHEN col - lag(col) OVER (PARTITION BY doc_id ORDER BY col) <= 8 THEN 0 ELSE 1 END AS fresh FROM cells WHERE ch <> '-'),
-    b AS (SELECT doc_id, col, sum(fresh) OVER (PARTITION BY doc_id ORDER BY col) AS k FROM r) SELECT doc_id, min(col)::INT AS start, max(col)::INT AS "end", count(*) AS n FROM b GROUP BY doc_id, k""",
+    f"""WITH {V.CELLS}, r AS (SELECT row_id, col, CASE WHEN col - lag(col) OVER (PARTITION BY row_id ORDER BY col) <= 8 THEN 0 ELSE 1 END AS fresh FROM cells WHERE ch <> '-'),
+    b AS (SELECT row_id, col, sum(fresh) OVER (PARTITION BY row_id ORDER BY col) AS k FROM r) SELECT row_id, min(col)::INT AS start, max(col)::INT AS "end", count(*) AS n FROM b GROUP BY row_id, k""",
 )
 def bridged_blocks(spark, sf):
     from seqspark.operators.intervals import blocks
 
-    return blocks(C.cells(V.rows(spark, sf), "doc_id", span=False).where("ch <> '-'"), ["doc_id"], "col", 8)
+    return blocks(C.cells(V.rows(spark, sf), "row_id", span=False).where("ch <> '-'"), ["row_id"], "col", 8)
 
 
 @_query(
     "residue_ordinals",
-    f"WITH {V.CELLS} SELECT doc_id, col, (row_number() OVER (PARTITION BY doc_id ORDER BY col) - 1)::BIGINT AS ordinal FROM cells WHERE ch <> '-'",
+    f"WITH {V.CELLS} SELECT row_id, col, (row_number() OVER (PARTITION BY row_id ORDER BY col) - 1)::BIGINT AS ordinal FROM cells WHERE ch <> '-'",
 )
 def residue_ordinals(spark, sf):
     from pyspark.sql import Window as W
 
-    at = F.row_number().over(W.partitionBy("doc_id").orderBy("col")) - 1
-    return C.cells(V.rows(spark, sf), "doc_id", span=False).where("ch <> '-'").select("doc_id", "col", at.cast("long").alias("ordinal"))
+    at = F.row_number().over(W.partitionBy("row_id").orderBy("col")) - 1
+    return C.cells(V.rows(spark, sf), "row_id", span=False).where("ch <> '-'").select("row_id", "col", at.cast("long").alias("ordinal"))
 
 
 @_query(
@@ -185,10 +185,10 @@ def qualify_gap(spark, sf):
     return flags.select("gene", q.alias("q")).select("gene", F.col("q.effective").cast("long").alias("effective"), F.col("q.min_aa").cast("long").alias("min_aa"))
 
 
-@_query("restore_stops", f"WITH {V.ROWS} SELECT doc_id, seq FROM rows")
+@_query("restore_stops", f"WITH {V.ROWS} SELECT row_id, seq FROM rows")
 def restore_stops(spark, sf):
     """Stops masked for an aligner come back at the ordinals of their residues."""
     from seqspark.operators.records import restore_stops as restore
 
     rows = V.rows(spark, sf)
-    return rows.select("doc_id", restore(S.mask_stops(F.col("seq")), F.replace("seq", F.lit("-"), F.lit(""))).alias("seq"))
+    return rows.select("row_id", restore(S.mask_stops(F.col("seq")), F.replace("seq", F.lit("-"), F.lit(""))).alias("seq"))

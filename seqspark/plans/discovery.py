@@ -22,7 +22,7 @@ def orf_scan(spark, sf):
 
 
 QUERIES["orf_scan"] = orf_scan
-ORACLE["orf_scan"] = f"WITH {V.NT}, h AS (SELECT doc_id, substr(nt, 1, 3000) AS nt FROM nt) {_frames('nt', 20)}"
+ORACLE["orf_scan"] = f"WITH {V.NT}, h AS (SELECT doc_id, nt FROM nt) {_frames('nt', 20)}"
 
 
 def orf_scan_from_start(spark, sf):
@@ -31,7 +31,7 @@ def orf_scan_from_start(spark, sf):
 
 
 QUERIES["orf_scan_from_start"] = orf_scan_from_start
-ORACLE["orf_scan_from_start"] = f"WITH {V.NT}, h AS (SELECT doc_id, substr(nt, 1, 3000) AS nt FROM nt), o AS ({_frames('nt', 20)}), m AS (SELECT doc_id, frame, substr(aa, instr(aa, 'M')) AS aa FROM o WHERE contains(aa, 'M')) SELECT doc_id, frame, aa FROM m WHERE length(aa) >= 20"
+ORACLE["orf_scan_from_start"] = f"WITH {V.NT}, h AS (SELECT doc_id, nt FROM nt), o AS ({_frames('nt', 20)}), m AS (SELECT doc_id, frame, substr(aa, instr(aa, 'M')) AS aa FROM o WHERE contains(aa, 'M')) SELECT doc_id, frame, aa FROM m WHERE length(aa) >= 20"
 
 
 def orf_locations(spark, sf):
@@ -41,7 +41,7 @@ def orf_locations(spark, sf):
 
 
 QUERIES["orf_locations"] = orf_locations
-_READ = "CASE WHEN doc_id % 2 = 1 THEN translate(reverse(substr(nt, 1, 900)), 'ACGT', 'TGCA') ELSE substr(nt, 1, 900) END"
+_READ = "CASE WHEN doc_id % 2 = 1 THEN translate(reverse(nt), 'ACGT', 'TGCA') ELSE nt END"
 _PLACED = " UNION ALL ".join(
     f"""SELECT doc_id, n, {f} AS f, aa, {f} + 3 * (p - length(aa) - 1) AS s FROM (SELECT doc_id, n, aa, sum(length(aa) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM
     (SELECT doc_id, n, unnest(a) AS aa, unnest(range(0, len(a))) AS i FROM (SELECT doc_id, length(nt) AS n, string_split({V.aa_sql(f'substr(nt, {f + 1})')}, '*') AS a FROM h)))"""

@@ -15,7 +15,7 @@ QUERIES, ORACLE = {}, {}
 
 def cull_columns(spark, sf):
     """Every gene's alignment, cleaned. References are of this gene too; see views."""
-    rows = V.rows(spark, sf).select("gene", F.col("doc_id").alias("ord"), "header", "seq")
+    rows = V.rows(spark, sf).select("gene", F.col("row_id").alias("ord"), "header", "seq")
     out = cull.cull_columns(rows)
     return out.select("gene", "ord", "header", "seq", F.size("drops").alias("n_drops"), "left_trim", "right_trim", F.size("introns").alias("n_introns"), F.size("exons").alias("n_exons"))
 
@@ -40,11 +40,11 @@ QUERIES["dedup_candidates"] = dedup_candidates
 
 
 def fasta_records(spark, sf):
-    return V.rows(spark, sf).select("doc_id", text.fasta_lines(F.col("header"), F.col("seq"), mask_stops=True).alias("record"))
+    return V.rows(spark, sf).select("row_id", text.fasta_lines(F.col("header"), F.col("seq"), mask_stops=True).alias("record"))
 
 
 QUERIES["fasta_records"] = fasta_records
-ORACLE["fasta_records"] = f"WITH {V.ROWS} SELECT doc_id, '>' || header || chr(10) || replace(seq, '*', 'X') AS record FROM rows"
+ORACLE["fasta_records"] = f"WITH {V.ROWS} SELECT row_id, '>' || header || chr(10) || replace(seq, '*', 'X') AS record FROM rows"
 
 
 def gap_cull(spark, sf):
@@ -62,14 +62,14 @@ def supersede_natives(spark, sf):
     s = V.spans(spark, sf)
     slot = F.col("id") % 6 == 0
     tag = F.concat_ws("_", F.when(slot, "IMX").otherwise("GAP"), "id", "line").alias("tag")
-    found = s.where("id % 2 = 0").select(tag, "scaffold", "strand", "start", "end", slot.alias("is_slot"), (F.col("id") * 10 + F.col("line")).alias("ord"))
-    # (id, line) repeats among the line items, so the place belongs to a native's name while first matches are sought
-    name = F.concat_ws("|", F.concat_ws("_", F.lit("n"), "id", "line"), "scaffold", "strand", "start", "end").alias("name")
-    natives = s.where("id % 2 = 1").select(name, "scaffold", "strand", "start", "end")
-    return candidates.supersede_natives(found, natives, 2000).select(F.substring_index("name", "|", 1).alias("name"), "tag")
+    found = s.where("id % 2 = 0").select(tag, "scaffold", "strand", "start", "end", slot.alias("is_slot"), (F.col("id") * 1000 + F.col("line")).alias("ord"))
+    natives = s.where("id % 2 = 1").select(F.concat_ws("_", F.lit("n"), "id", "line").alias("name"), "scaffold", "strand", "start", "end")
+    return candidates.supersede_natives(found, natives, 2000).select("name", "tag", "superseded")
 
 
 QUERIES["supersede_natives"] = supersede_natives
-ORACLE["supersede_natives"] = f"""WITH {V.SPANS}, f AS (SELECT * FROM spans WHERE strand = '+')
-SELECT 'n_' || n.id || '_' || n.line AS name, 'GAP_' || g.id || '_' || g.line AS tag FROM f n JOIN f g ON n.scaffold = g.scaffold AND n.id % 2 = 1 AND g.id % 2 = 0
-WHERE (g.start <= n.start AND g."end" >= n."end") OR greatest(0, least(n."end", g."end") - greatest(n.start, g.start) + 1) / (n."end" - n.start + 1)::DOUBLE >= 0.8"""
+ORACLE["supersede_natives"] = f"""WITH {V.SPANS}, h AS (SELECT n.id, n.line, g.id AS g_id, g.line AS g_line, g.id % 6 = 0 AS slot
+  FROM spans n JOIN spans g ON n.scaffold = g.scaffold AND n.strand = g.strand AND n.id % 2 = 1 AND g.id % 2 = 0
+  WHERE (g.start <= n.start AND g."end" >= n."end") OR greatest(0, least(n."end", g."end") - greatest(n.start, g.start) + 1) / (n."end" - n.start + 1)::DOUBLE >= 0.8),
+  k AS (SELECT *, row_number() OVER (PARTITION BY id, line, slot ORDER BY g_id, g_line) AS k FROM h)
+SELECT 'n_' || id || '_' || line AS name, CASE WHEN slot THEN 'IMX_' ELSE 'GAP_' END || g_id || '_' || g_line AS tag, slot AS superseded FROM k WHERE NOT slot OR k = 1"""

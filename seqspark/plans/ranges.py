@@ -81,11 +81,11 @@ def coverage_80(spark, sf):
 @_query(
     "consecutive_gaps",
     f"""WITH {V.SPANS}, f AS (SELECT *, first_value(strand) OVER (PARTITION BY scaffold ORDER BY id, line) AS lead_strand FROM spans),
-    o AS (SELECT *, lead(id) OVER w AS node_b, lead(start) OVER w AS gap_end FROM f WINDOW w AS (PARTITION BY scaffold ORDER BY CASE WHEN lead_strand = '-' THEN -start ELSE start END, id * 10 + line, "end"))
+    o AS (SELECT *, lead(id) OVER w AS node_b, lead(start) OVER w AS gap_end FROM f WINDOW w AS (PARTITION BY scaffold ORDER BY CASE WHEN lead_strand = '-' THEN -start ELSE start END, id * 1000 + line, "end"))
     SELECT scaffold, id AS node_a, node_b, "end" AS gap_start, gap_end FROM o WHERE node_b IS NOT NULL""",
 )
 def consecutive_gaps(spark, sf):
-    s = V.spans(spark, sf).select("scaffold", "start", "end", F.col("id").alias("node"), (F.col("id") * 10 + F.col("line")).alias("ord"), F.when(F.col("strand") == "-", -1).otherwise(1).alias("frame"))
+    s = V.spans(spark, sf).select("scaffold", "start", "end", F.col("id").alias("node"), (F.col("id") * 1000 + F.col("line")).alias("ord"), F.when(F.col("strand") == "-", -1).otherwise(1).alias("frame"))
     return I.consecutive_gaps(s, ["scaffold"])
 
 
@@ -110,11 +110,11 @@ def assign_tags(spark, sf):
 
 @_query(
     "chunk_fetch",
-    f"""WITH {V.NT} SELECT doc_id, substr(nt, 41, 100) AS seq FROM nt WHERE length(nt) >= 140""",
+    f"""WITH {V.NT} SELECT doc_id, substr(nt, 41) AS seq FROM nt WHERE length(nt) >= 140""",
 )
 def chunk_fetch(spark, sf):
     """Ranges of chunked sequences, put together from the blocks that they touch."""
     nt = V.nt(spark, sf).where("length(nt) >= 140")
     chunks = nt.select(F.col("doc_id").alias("scaffold"), F.posexplode(F.regexp_extract_all("nt", F.lit(".{1,64}"), F.lit(0))).alias("blk", "seq"))
-    ranges = nt.select(F.col("doc_id").alias("scaffold"), F.lit(40).cast("long").alias("lo"), F.lit(140).cast("long").alias("hi"))
+    ranges = nt.select(F.col("doc_id").alias("scaffold"), F.lit(40).cast("long").alias("lo"), F.length("nt").cast("long").alias("hi"))
     return I.fetch_ranges(ranges, chunks, 64).select(F.col("scaffold").alias("doc_id"), "seq")

@@ -37,118 +37,117 @@ def translate_t2(spark, sf):
 _TABLES = [t for t in codons.CHANGES if t > 2]
 
 
-@query("translate_tables", f"WITH {V.NT} " + " UNION ALL ".join(f"SELECT doc_id, {t} AS code, {V.aa_sql('substr(nt, 1, 60)', t)} AS aa FROM nt" for t in _TABLES))
+@query("translate_tables", f"WITH {V.NT} " + " UNION ALL ".join(f"SELECT doc_id, {t} AS code, {V.aa_sql('nt', t)} AS aa FROM nt" for t in _TABLES))
 def translate_tables(spark, sf):
-    head = F.substring("nt", 1, 60)
-    every = F.array(*(F.struct(F.lit(t).alias("code"), codons.translate(head, t).alias("aa")) for t in _TABLES))
+    every = F.array(*(F.struct(F.lit(t).alias("code"), codons.translate(F.col("nt"), t).alias("aa")) for t in _TABLES))
     return V.nt(spark, sf).select("doc_id", F.inline(every))
 
 
 @query(
     "revcomp",
-    f"WITH {V.NT} SELECT doc_id, translate(reverse(nt), 'ACGT', 'TGCA') AS rc, translate(reverse(lower(substr(nt, 1, 90))), 'acgt', 'TGCA') AS upper_rc, translate(regexp_replace(upper(reverse(lower(substr(nt, 1, 90)))), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA') AS strict_rc FROM nt",
+    f"WITH {V.NT} SELECT doc_id, translate(reverse(nt), 'ACGT', 'TGCA') AS rc, translate(reverse(lower(nt)), 'acgt', 'TGCA') AS upper_rc, translate(regexp_replace(upper(reverse(lower(nt))), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA') AS strict_rc FROM nt",
 )
 def revcomp(spark, sf):
-    low = F.lower(F.substring("nt", 1, 90))
+    low = F.lower("nt")
     return V.nt(spark, sf).select("doc_id", S.revcomp(F.col("nt")).alias("rc"), S.revcomp_upper(low).alias("upper_rc"), S.complement_or_n(low).alias("strict_rc"))
 
 
 @query(
     "index_pair",
-    f"""WITH {V.ROWS} SELECT doc_id, {V.FIRST} AS first, {V.LAST} AS last, CASE WHEN rtrim(seq, '-') = '' THEN 120 ELSE length(rtrim(seq, '-')) END AS flank_last,
+    f"""WITH {V.ROWS} SELECT row_id, {V.FIRST} AS first, {V.LAST} AS last, CASE WHEN rtrim(seq, '-') = '' THEN 120 ELSE length(rtrim(seq, '-')) END AS flank_last,
     CASE WHEN rtrim(seq, '-') = '' THEN -1 ELSE length(rtrim(seq, '-')) - 1 END AS inclusive_last FROM rows""",
 )
 def index_pair(spark, sf):
     s = F.col("seq")
     p = S.find_index_pair(s)
-    return V.rows(spark, sf).select("doc_id", p["start"].alias("first"), p["end"].alias("last"), S.residue_span(s, 0, F.length(s))["end"].alias("flank_last"), S.residue_span(s, -1, -1, True)["end"].alias("inclusive_last"))
+    return V.rows(spark, sf).select("row_id", p["start"].alias("first"), p["end"].alias("last"), S.residue_span(s, 0, F.length(s))["end"].alias("flank_last"), S.residue_span(s, -1, -1, True)["end"].alias("inclusive_last"))
 
 
-@query("same_kmer", f"WITH {V.ROWS} SELECT doc_id, substr(seq, 1, 1) = substr(other, 1, 1) AS same FROM rows")
+@query("same_kmer", f"WITH {V.ROWS} SELECT row_id, substr(seq, 1, 2) = substr(other, 1, 2) AS same FROM rows")
 def same_kmer(spark, sf):
-    return V.rows(spark, sf).select("doc_id", S.is_same_kmer(F.substring("seq", 1, 1), F.substring("other", 1, 1)).alias("same"))
+    return V.rows(spark, sf).select("row_id", S.is_same_kmer(F.substring("seq", 1, 2), F.substring("other", 1, 2)).alias("same"))
 
 
 @query(
     "constrained_distance",
-    f"""WITH {V.ROWS}, p AS (SELECT doc_id, substr(replace(other, '-', 'X'), f + 1, l - f) AS con, substr(seq, f + 1, l - f) AS can FROM (SELECT *, {V.FIRST} AS f, {V.LAST} AS l FROM rows))
-    SELECT doc_id, greatest(0, len(list_filter(range(1, length(can) + 1), lambda i: substr(con, i, 1) <> substr(can, i, 1))) - (length(con) - length(replace(con, 'X', ''))))::BIGINT AS distance FROM p""",
+    f"""WITH {V.ROWS}, p AS (SELECT row_id, substr(replace(other, '-', 'X'), f + 1, l - f) AS con, substr(seq, f + 1, l - f) AS can FROM (SELECT *, {V.FIRST} AS f, {V.LAST} AS l FROM rows))
+    SELECT row_id, greatest(0, len(list_filter(range(1, length(can) + 1), lambda i: substr(con, i, 1) <> substr(can, i, 1))) - (length(con) - length(replace(con, 'X', ''))))::BIGINT AS distance FROM p""",
 )
 def constrained_distance(spark, sf):
-    return V.rows(spark, sf).select("doc_id", S.constrained_distance(F.replace("other", F.lit("-"), F.lit("X")), F.col("seq")).alias("distance"))
+    return V.rows(spark, sf).select("row_id", S.constrained_distance(F.replace("other", F.lit("-"), F.lit("X")), F.col("seq")).alias("distance"))
 
 
 _PAIR = f"{blosum.pair_sql()}"
 
 
 @query(
-    "blosum_distance",
-    f"""WITH {V.ROWS}, m AS MATERIALIZED (SELECT {_PAIR} AS m), t AS (SELECT doc_id, coalesce(m[substr(a, i, 1) || substr(b, i, 1)], -4) AS x, coalesce(m[substr(a, i, 1) || substr(a, i, 1)], -4) AS y, coalesce(m[substr(b, i, 1) || substr(b, i, 1)], -4) AS z
-      FROM (SELECT doc_id, replace(seq, '-', '*') AS a, replace(other, '-', '*') AS b, unnest(range(1, 121)) AS i FROM rows), m)
-    SELECT doc_id, round(1.0::DOUBLE - sum(x)::DOUBLE / greatest(sum(y), sum(z))::DOUBLE, 6) AS distance FROM t GROUP BY doc_id""",
+    "blosum62_distance",
+    f"""WITH {V.ROWS}, m AS MATERIALIZED (SELECT {_PAIR} AS m), t AS (SELECT row_id, coalesce(m[substr(a, i, 1) || substr(b, i, 1)], -4) AS x, coalesce(m[substr(a, i, 1) || substr(a, i, 1)], -4) AS y, coalesce(m[substr(b, i, 1) || substr(b, i, 1)], -4) AS z
+      FROM (SELECT row_id, replace(seq, '-', '*') AS a, replace(other, '-', '*') AS b, unnest(range(1, 121)) AS i FROM rows), m)
+    SELECT row_id, round(1.0::DOUBLE - sum(x)::DOUBLE / greatest(sum(y), sum(z))::DOUBLE, 6) AS distance FROM t GROUP BY row_id""",
 )
-def blosum_distance(spark, sf):
-    return V.rows(spark, sf).select("doc_id", F.round(S.blosum62_distance(F.col("seq"), F.col("other")), 6).alias("distance"))
+def blosum62_distance(spark, sf):
+    return V.rows(spark, sf).select("row_id", F.round(S.blosum62_distance(F.col("seq"), F.col("other")), 6).alias("distance"))
 
 
 @query(
-    "blosum_cand_ref",
-    f"""WITH {V.ROWS}, m AS MATERIALIZED (SELECT {_PAIR} AS m), t AS (SELECT doc_id, CASE WHEN a IN ('-', '*') THEN -11 ELSE coalesce(m[a || b], -4) END AS x, CASE WHEN a IN ('-', '*') THEN -11 ELSE coalesce(m[a || a], -4) END AS y, coalesce(m[b || b], -4) AS z
-      FROM (SELECT doc_id, substr(seq, i, 1) AS a, substr(other, i, 1) AS b FROM (SELECT *, unnest(range(1, 121)) AS i FROM rows)), m WHERE b NOT IN ('-', '*')),
-    d AS (SELECT doc_id, sum(x) AS x, greatest(sum(y), sum(z)) AS best FROM t GROUP BY doc_id)
-    SELECT r.doc_id, CASE WHEN coalesce(best, 0) <> 0 THEN round(1.0::DOUBLE - x::DOUBLE / best::DOUBLE, 6) END AS distance FROM rows r LEFT JOIN d USING (doc_id)""",
+    "blosum62_candidate",
+    f"""WITH {V.ROWS}, m AS MATERIALIZED (SELECT {_PAIR} AS m), t AS (SELECT row_id, CASE WHEN a IN ('-', '*') THEN -11 ELSE coalesce(m[a || b], -4) END AS x, CASE WHEN a IN ('-', '*') THEN -11 ELSE coalesce(m[a || a], -4) END AS y, coalesce(m[b || b], -4) AS z
+      FROM (SELECT row_id, substr(seq, i, 1) AS a, substr(other, i, 1) AS b FROM (SELECT *, unnest(range(1, 121)) AS i FROM rows)), m WHERE b NOT IN ('-', '*')),
+    d AS (SELECT row_id, sum(x) AS x, greatest(sum(y), sum(z)) AS best FROM t GROUP BY row_id)
+    SELECT r.row_id, CASE WHEN coalesce(best, 0) <> 0 THEN round(1.0::DOUBLE - x::DOUBLE / best::DOUBLE, 6) END AS distance FROM rows r LEFT JOIN d USING (row_id)""",
 )
-def blosum_cand_ref(spark, sf):
+def blosum62_candidate(spark, sf):
     d = S.blosum62_candidate_to_reference(F.col("seq"), F.col("other"))
-    return V.rows(spark, sf).select("doc_id", F.round(F.nanvl(d, F.lit(None).cast("double")), 6).alias("distance"))
+    return V.rows(spark, sf).select("row_id", F.round(F.nanvl(d, F.lit(None).cast("double")), 6).alias("distance"))
 
 
 @query("join_tripled", f"WITH {V.NT} SELECT doc_id, substr(nt, 1, 3) || substr(nt, 13, 3) || substr(nt, 7, 3) || substr(nt, 13, 3) AS joined FROM nt WHERE length(nt) >= 15")
 def join_tripled(spark, sf):
-    return V.nt(spark, sf).where(F.length("nt") >= 15).select("doc_id", codons.join_by_tripled_index(F.substring("nt", 1, 60), F.array(*map(F.lit, (0, 4, 2, 4)))).alias("joined"))
+    return V.nt(spark, sf).where(F.length("nt") >= 15).select("doc_id", codons.join_by_tripled_index(F.col("nt"), F.array(*map(F.lit, (0, 4, 2, 4)))).alias("joined"))
 
 
-@query("join_excl", f"WITH {V.ROWS} SELECT doc_id, '-' || substr(seq, 2, 2) || '-' || substr(seq, 5, 6) || '-' || substr(seq, 12) AS masked FROM rows")
+@query("join_excl", f"WITH {V.ROWS} SELECT row_id, '-' || substr(seq, 2, 2) || '-' || substr(seq, 5, 6) || '-' || substr(seq, 12) AS masked FROM rows")
 def join_excl(spark, sf):
-    return V.rows(spark, sf).select("doc_id", S.join_with_exclusions(F.col("seq"), F.array(*map(F.lit, (0, 9, 30, 31)))).alias("masked"))
+    return V.rows(spark, sf).select("row_id", S.join_with_exclusions(F.col("seq"), F.array(*map(F.lit, (0, 9, 30, 31)))).alias("masked"))
 
 
-@query("join_triplets_excl", f"WITH {V.NT} SELECT doc_id, '---' || substr(nt, 4, 6) || '---' || substr(nt, 13, 18) AS masked FROM nt WHERE length(nt) >= 30")
+@query("join_triplets_excl", f"WITH {V.NT} SELECT doc_id, '---' || substr(nt, 4, 6) || '---' || substr(nt, 13, length(nt) // 3 * 3 - 12) AS masked FROM nt WHERE length(nt) >= 30")
 def join_triplets_excl(spark, sf):
     cols = lambda *x: F.array(*map(F.lit, x))
-    return V.nt(spark, sf).where(F.length("nt") >= 30).select("doc_id", codons.join_triplets_with_exclusions(F.substring("nt", 1, 30), cols(0, 4), cols(9, 0)).alias("masked"))
+    return V.nt(spark, sf).where(F.length("nt") >= 30).select("doc_id", codons.join_triplets_with_exclusions(codons.trim_to_codon(F.col("nt")), cols(0, 4), cols(9, 0)).alias("masked"))
 
 
-@query("del_cols", f"WITH {V.ROWS} SELECT doc_id, substr(seq, 1, 3) || '-' || substr(seq, 5, 6) || '-' || substr(seq, 12) AS aa, substr(seq, 1, 3) || '---' || substr(seq, 7, 4) || '---' || substr(seq, 14) AS nt FROM rows")
+@query("del_cols", f"WITH {V.ROWS} SELECT row_id, substr(seq, 1, 3) || '-' || substr(seq, 5, 6) || '-' || substr(seq, 12) AS aa, substr(seq, 1, 3) || '---' || substr(seq, 7, 4) || '---' || substr(seq, 14) AS nt FROM rows")
 def del_cols(spark, sf):
     gone = F.array(F.lit(3), F.lit(10))
-    return V.rows(spark, sf).select("doc_id", S.del_cols(F.col("seq"), gone).alias("aa"), S.del_cols(F.col("seq"), gone, True).alias("nt"))
+    return V.rows(spark, sf).select("row_id", S.del_cols(F.col("seq"), gone).alias("aa"), S.del_cols(F.col("seq"), gone, True).alias("nt"))
 
 
 _RUNS = "list_transform(regexp_extract_all(seq, '[^-]+|-+'), lambda r: CASE WHEN r[1] = '-' OR length(r) < 5 THEN repeat('X', length(r)) ELSE r END)"
 
 
-@query("mask_small_regions", f"WITH {V.ROWS} SELECT doc_id, array_to_string({_RUNS}, '') AS masked FROM rows")
+@query("mask_small_regions", f"WITH {V.ROWS} SELECT row_id, array_to_string({_RUNS}, '') AS masked FROM rows")
 def mask_small_regions(spark, sf):
-    return V.rows(spark, sf).select("doc_id", S.mask_small_regions(F.col("seq"), 5).alias("masked"))
+    return V.rows(spark, sf).select("row_id", S.mask_small_regions(F.col("seq"), 5).alias("masked"))
 
 
 @query(
     "consensus_distance",
-    f"""WITH {V.ROWS}, c AS (SELECT doc_id, i, substr(seq, i, 1) AS raw, substr(replace(other, '-', 'X'), i, 1) AS con, substr(array_to_string({_RUNS}, ''), i, 1) AS can FROM (SELECT *, unnest(range(1, 121)) AS i FROM rows)),
-    g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS region FROM c WHERE raw <> '-'),
-    r AS (SELECT doc_id, count(*) FILTER (con <> 'X' AND can <> 'X') AS overlap, count(*) FILTER (con <> 'X' AND con <> can) AS distance, count(*) AS n FROM g GROUP BY doc_id, region)
-    SELECT d.doc_id, coalesce(sum(distance), 0)::BIGINT AS distance, coalesce(sum(n), 0)::BIGINT AS length FROM rows d LEFT JOIN r ON r.doc_id = d.doc_id AND overlap >= 4 GROUP BY d.doc_id""",
+    f"""WITH {V.ROWS}, c AS (SELECT row_id, i, substr(seq, i, 1) AS raw, substr(replace(other, '-', 'X'), i, 1) AS con, substr(array_to_string({_RUNS}, ''), i, 1) AS can FROM (SELECT *, unnest(range(1, 121)) AS i FROM rows)),
+    g AS (SELECT *, i - row_number() OVER (PARTITION BY row_id ORDER BY i) AS region FROM c WHERE raw <> '-'),
+    r AS (SELECT row_id, count(*) FILTER (con <> 'X' AND can <> 'X') AS overlap, count(*) FILTER (con <> 'X' AND con <> can) AS distance, count(*) AS n FROM g GROUP BY row_id, region)
+    SELECT d.row_id, coalesce(sum(distance), 0)::BIGINT AS distance, coalesce(sum(n), 0)::BIGINT AS length FROM rows d LEFT JOIN r ON r.row_id = d.row_id AND overlap >= 4 GROUP BY d.row_id""",
 )
 def consensus_distance(spark, sf):
     d = S.consensus_distance(F.replace("other", F.lit("-"), F.lit("X")), F.col("seq"), 5, 4)
-    return V.rows(spark, sf).select("doc_id", d.alias("d")).select("doc_id", F.col("d.distance").alias("distance"), F.col("d.length").alias("length"))
+    return V.rows(spark, sf).select("row_id", d.alias("d")).select("row_id", F.col("d.distance").alias("distance"), F.col("d.length").alias("length"))
 
 
-@query("normalize_records", f"WITH {V.ROWS} SELECT doc_id, seq AS normal FROM rows")
+@query("normalize_records", f"WITH {V.ROWS} SELECT row_id, seq AS normal FROM rows")
 def normalize_records(spark, sf):
     messy = F.concat(F.lit(" "), F.lower(F.replace("seq", F.lit("-"), F.lit("."))), F.lit(" "))
-    return V.rows(spark, sf).select("doc_id", S.normalize_record(messy).alias("normal"))
+    return V.rows(spark, sf).select("row_id", S.normalize_record(messy).alias("normal"))
 
 
 @query(
@@ -163,11 +162,11 @@ def trim_locus(spark, sf):
 
 @query(
     "header_fields",
-    f"WITH {V.ROWS} SELECT doc_id, string_split(header, '|')[4] AS node, string_split(header, '|')[5] AS frame, coalesce(string_split(header, '|')[6], header) AS tail, regexp_replace(header, '[|]n[0-9]+[|]', '|tag|') AS renamed, header LIKE '%.' AS is_ref FROM rows",
+    f"WITH {V.ROWS} SELECT row_id, string_split(header, '|')[4] AS node, string_split(header, '|')[5] AS frame, coalesce(string_split(header, '|')[6], header) AS tail, regexp_replace(header, '[|]n[0-9]+[|]', '|tag|') AS renamed, header LIKE '%.' AS is_ref FROM rows",
 )
 def header_fields(spark, sf):
     h = F.col("header")
-    return V.rows(spark, sf).select("doc_id", S.header_field(h, 3).alias("node"), S.header_field(h, 4).alias("frame"), S.header_field(h, 5, h).alias("tail"), S.rename_node(h, F.lit("tag")).alias("renamed"), S.is_reference(h).alias("is_ref"))
+    return V.rows(spark, sf).select("row_id", S.header_field(h, 3).alias("node"), S.header_field(h, 4).alias("frame"), S.header_field(h, 5, h).alias("tail"), S.rename_node(h, F.lit("tag")).alias("renamed"), S.is_reference(h).alias("is_ref"))
 
 
 @query("n_chunks", f"WITH {V.NT}, c AS (SELECT doc_id, unnest(string_split(nt, 'N')) AS chunk FROM nt WHERE length(nt) >= 30) SELECT doc_id, chunk FROM c WHERE length(chunk) >= 30")
@@ -187,15 +186,17 @@ def min_length(spark, sf):
     return V.rows(spark, sf).where(F.col("is_ref") | (n >= 100)).select("header", n.cast("long").alias("n"))
 
 
-@query("splice_sites", f"WITH {V.NT} SELECT doc_id, regexp_matches(nt, '^.{{0,2}}G[TC]') AND regexp_matches(nt, 'AG.{{0,2}}$') AND length(nt) >= 30 AS spliced FROM nt")
+_PHASES = " OR ".join(f"(substr(nt, {p + 1}, 2) IN ('GT', 'GC') AND substr(nt, n + {p - 1}, 2) = 'AG' AND n + {p} <= length(nt))" for p in range(3))
+
+
+@query("splice_sites", f"WITH {V.NT} SELECT doc_id, n >= 30 AND ({_PHASES}) AS spliced FROM (SELECT *, length(nt) // 3 * 3 AS n FROM nt)")
 def splice_sites(spark, sf):
-    s = F.col("nt")
-    return V.nt(spark, sf).select("doc_id", (s.rlike("^.{0,2}G[TC]") & s.rlike("AG.{0,2}$") & (F.length(s) >= 30)).alias("spliced"))
+    return V.nt(spark, sf).select("doc_id", S.spliced(F.col("nt"), F.lit(0), F.floor(F.length("nt") / 3).cast("int")).alias("spliced"))
 
 
 @query(
     "low_complexity",
-    f"""WITH {V.NT}, head AS (SELECT doc_id, substr(nt, 1, 900) AS nt FROM nt),
+    f"""WITH {V.NT}, head AS (SELECT doc_id, nt FROM nt),
     seg AS (SELECT doc_id, pos, s FROM (SELECT doc_id, unnest(regexp_extract_all(nt, '[ACGT]+')) AS s, unnest(range(1, len(regexp_extract_all(nt, '[ACGT]+')) + 1)) AS pos FROM head) WHERE length(s) >= 30),
     starts AS (SELECT doc_id, pos, s, least(60, length(s)) AS size, unnest(CASE WHEN length(s) <= 60 THEN [0] ELSE list_distinct(list_append(range(0, length(s) - 59, 15), length(s) - 60)) END) AS p0 FROM seg),
     win AS (SELECT doc_id, pos, p0, size, substr(s, p0 + 1, size) AS w FROM starts),
@@ -213,7 +214,7 @@ def low_complexity(spark, sf):
 
 @query(
     "canonical_dedupe",
-    f"""WITH {V.NT}, s AS (SELECT doc_id, substr(nt, 1, 4) AS seq FROM nt), c AS (SELECT doc_id, least(seq, translate(reverse(seq), 'ACGT', 'TGCA')) AS seq FROM s),
+    f"""WITH {V.NT}, s AS (SELECT doc_id, nt AS seq FROM nt), c AS (SELECT doc_id, least(seq, translate(reverse(seq), 'ACGT', 'TGCA')) AS seq FROM s),
     g AS (SELECT seq, count(*) AS n, min(doc_id) AS first FROM c GROUP BY seq), o AS (SELECT row_number() OVER (ORDER BY first) AS id, seq, n FROM g) SELECT id, seq, n FROM o WHERE n >= 2""",
 )
 def canonical_dedupe(spark, sf):
@@ -227,11 +228,11 @@ def genomic_order(spark, sf):
     return V.spans(spark, sf).select("id", "line", F.row_number().over(W.partitionBy("scaffold").orderBy("start", "end", "id", "line")).cast("long").alias("place"))
 
 
-@query("best_of_header", f"WITH {V.ROWS} SELECT gene, doc_id, n FROM (SELECT gene, doc_id, length(replace(seq, '-', '')) AS n, row_number() OVER (PARTITION BY gene ORDER BY length(replace(seq, '-', '')) DESC, doc_id) AS k FROM rows) WHERE k = 1")
+@query("best_of_header", f"WITH {V.ROWS} SELECT gene, row_id, n FROM (SELECT gene, row_id, length(replace(seq, '-', '')) AS n, row_number() OVER (PARTITION BY gene ORDER BY length(replace(seq, '-', '')) DESC, row_id) AS k FROM rows) WHERE k = 1")
 def best_of_header(spark, sf):
     n = F.length(F.replace("seq", F.lit("-"), F.lit(""))).cast("long")
-    best = V.rows(spark, sf).groupBy("gene").agg(F.min(F.struct((-n).alias("n"), "doc_id")).alias("b"))
-    return best.select("gene", F.col("b.doc_id").alias("doc_id"), (-F.col("b.n")).alias("n"))
+    best = V.rows(spark, sf).groupBy("gene").agg(F.min(F.struct((-n).alias("n"), "row_id")).alias("b"))
+    return best.select("gene", F.col("b.row_id").alias("row_id"), (-F.col("b.n")).alias("n"))
 
 
 @query("set_operations", f"WITH {V.NT}, s AS (SELECT doc_id, [doc_id % 3, doc_id % 5, 7] AS a, [doc_id % 4, 7, doc_id % 5] AS b FROM nt) SELECT doc_id, len(list_distinct(list_intersect(a, b)))::BIGINT AS common, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x)))::BIGINT AS only_a, len(list_distinct(list_concat(a, b)))::BIGINT AS either FROM s")

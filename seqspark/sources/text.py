@@ -33,7 +33,7 @@ def _whole(spark: SparkSession, paths) -> DataFrame:
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, ord, header, seq): the header whole, sequence lines trimmed and joined. What stands before the first > is skipped."""
-    records = F.filter(F.split(F.concat(F.lit("\n"), "value"), "\n>"), lambda r: F.lit(True))
+    records = F.split(F.concat(F.lit("\n"), "value"), "\n>")
     parts = _whole(spark, paths).select("path", F.posexplode(F.slice(records, 2, F.greatest(F.size(records) - 1, F.lit(0)))).alias("ord", "record"))
     lines = F.split("record", "\n")
     seq = F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(F.regexp_replace(x, r"[\t ]+$", ""))), "")
@@ -42,7 +42,7 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, ord, header, seq, quality) of records of four lines each."""
-    lines = F.filter(F.split("value", "\n"), lambda x: x != "")
+    lines = F.split(F.regexp_replace("value", r"\n+\z", ""), "\n")  # a read may be empty, and its line with it
     at = F.sequence(F.lit(0), F.floor(F.size("lines") / 4).cast("int") - 1)
     rows = _whole(spark, paths).select("path", lines.alias("lines")).where(F.size("lines") >= 4)
     rec = rows.select("path", F.explode(F.transform(at, lambda i: F.struct(i.alias("ord"), F.get("lines", i * 4).alias("h"), F.get("lines", i * 4 + 1).alias("seq"), F.get("lines", i * 4 + 3).alias("q")))).alias("r"))
