@@ -120,10 +120,11 @@ def join_by_key(left: DataFrame, index: DataFrame, keys: list[str], weight: str,
     return near.select(*rest.columns).unionByName(rest)
 
 
-def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], deal: list[str], counted: DataFrame | None = None) -> DataFrame:
+def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], deal: list[str], counted: DataFrame | None = None, plan: str = "merge") -> DataFrame:
     """left joined with right, which has few rows for a key but maybe wide ones.
 
-    counted is a written table whose rows have the keys of left's (left itself, unless given).
+    counted is a written table whose rows have the keys of left's (left itself, unless given); plan is the join's hint, so
+    that it is the same at every size: shuffle_hash where the rows of right are narrow.
     The rows of a hot key of left are dealt out by a hash of the deal columns over as many salts as the key has
     thousandths of all rows, and the rows of right with that key are copied to each salt. Hot keys have fewer than 2 *
     HOT_SHARE salts together. Only these keys and their salts are broadcast.
@@ -136,4 +137,4 @@ def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], deal: list[st
     many = F.coalesce("_salts", F.lit(1))
     dealt = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*deal), many).cast("int")).drop("_salts")
     copies = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_salts")
-    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+    return dealt.join(copies.hint(plan), [*keys, "_salt"]).drop("_salt")

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import erase, join_by_key, rows_of, text_of, written
+from ._shared import erase, join_by_key, join_dealt, rows_of, text_of, written
 
 WHITE = " \t\n\x0b\f\r"
 #: Rows that a copy of the staying row's text is compared with, at most on average.
@@ -93,32 +93,33 @@ def _range(h: Column, ranges: int) -> Column:
     return F.pmod(h, F.lit(ranges))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = lambda norm: F.unhex(sha256(norm))) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row for each row of docs: key, keep_id, group_size, kept and text_sha256.
 
-    digest may be any function of the normalised text; the byte comparison makes the result independent
+    digest may be any function of the normalised text (unless given, SHA-256); the byte comparison makes the result independent
     of its collisions.
     """
     rows = docs.select(F.col(key).alias("id"), text_of(text).alias("text"))
-    norm = normalised(F.col("text"))
+    rows = rows.select("id", F.length("text").alias("n_points"), normalised(F.col("text")).alias("norm")).withColumn("sha", sha256(F.col("norm")))
+    rows = rows.withColumn("digest", F.unhex("sha") if digest is None else digest(F.col("norm")))
     index = MergeIndex(docs.sparkSession)
-    index.flush(rows.select(digest(norm).alias("digest"), sha256(norm).alias("sha"), F.length("text").alias("n_points"), "id"))
+    index.flush(rows.select("digest", "sha", "n_points", "id"))
     level = index.compact()
     total = rows_of(index.log)
     placed = join_by_key(index.log.drop("run"), level, ["digest"], "group_size", total)
 
-    hits = _hits(rows, level, total, digest)
+    hits = _hits(rows, level, index.log)
     clashing = written(_differing(hits), "clashes")
     if not clashing.isEmpty():
         placed = placed.join(clashing, "digest", "left_anti").unionByName(_by_text(hits.join(clashing, "digest", "left_semi")))
     return placed.select(F.col("id").alias(key), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def _hits(rows: DataFrame, level: DataFrame, total: int, digest) -> DataFrame:
+def _hits(rows: DataFrame, level: DataFrame, log: DataFrame) -> DataFrame:
     """The rows whose digest others share too, with their normalised texts; written, as they are read twice."""
     shared = written(level.where("group_size > 1"), "shared")
-    near = rows.select("id", F.length("text").alias("n_points"), normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    return written(join_by_key(near, shared, ["digest"], "group_size", total, "inner"), "hits")
+    near = rows.select("id", "n_points", "norm", "digest")
+    return written(join_dealt(near, shared, ["digest"], ["id", "n_points"], log, "shuffle_hash"), "hits")
 
 
 def _differing(hits: DataFrame) -> DataFrame:
