@@ -222,13 +222,13 @@ def _prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     """
     some = sets.join(ids, "id", "left_semi")
     some = written(some.select("id", F.xxhash64("shingles").alias("own"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("gram")), "shingles")
-    often = written(some.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often", some)
-    ranked = join_by_key(some, often, ["gram"], "often", rows_of(some)).groupBy("id", "own", "n")
-    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "gram"))).alias("s"))
+    often = some.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    # a shingle of very many of these sets is one row of often, and its rows of some are split by AQE
+    ranked = some.join(often.hint("merge"), "gram").groupBy("id", "own", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("s"))
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     out = ranked.select("id", "n", F.posexplode(F.slice("s", 1, length)).alias("at", "x")).where("x.often > 1").select("x.gram", "id", "n", "at")
     out = written(out, "prefixes", some)
-    erase(some, often)
+    erase(some)
     return out
 
 
