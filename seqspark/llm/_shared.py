@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE hot keys, however large the input.
 HOT_SHARE = 1000
+#: A key with no more rows than this is never dealt out.
+SALT_ROWS = 1000
 #: Rows of an Arrow batch at most: a batch of whole texts is held by the task, twice, and by its Python worker.
 BATCH_ROWS = 1000
 #: Compressed bytes of an intermediate table for each file and task.
@@ -124,14 +126,13 @@ def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], deal: list[st
     counted is a written table whose rows have the keys of left's (left itself, unless given); plan is the join's hint, so
     that it is the same at every size: shuffle_hash where the rows of right are narrow.
     The rows of a hot key of left are dealt out by a hash of the deal columns over as many salts as the key has
-    thousandths of all rows, and the rows of right with that key are copied to each salt. Hot keys have fewer than 2 *
+    thousandths of all rows, or SALT_ROWS rows where that is more, and the rows of right with that key are copied to each salt. Hot keys have fewer than 2 *
     HOT_SHARE salts together. Only these keys and their salts are broadcast.
     """
     counted = left if counted is None else counted
-    total = rows_of(counted)
+    per = max(rows_of(counted) / HOT_SHARE, SALT_ROWS)
     counts = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    salts = F.ceil(F.col("_n") * HOT_SHARE / F.lit(max(1, total))).cast("int")
-    hot = F.broadcast(counts.where(F.col("_n") * HOT_SHARE > total).select(*keys, salts.alias("_salts")))
+    hot = F.broadcast(counts.where(F.col("_n") > per).select(*keys, F.ceil(F.col("_n") / per).cast("int").alias("_salts")))
     many = F.coalesce("_salts", F.lit(1))
     dealt = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*deal), many).cast("int")).drop("_salts")
     copies = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_salts")
