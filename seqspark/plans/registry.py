@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("scalars", "alignments", "ranges", "discovery", "genes")
+MODULES = ("scalars", "alignments", "ranges", "discovery", "genes", "clusters")
 
 
 def _modules():
