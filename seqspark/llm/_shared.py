@@ -120,17 +120,17 @@ def join_by_key(left: DataFrame, index: DataFrame, keys: list[str], weight: str,
     return near.unionByName(rest)
 
 
-def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], deal: list[str], counted: DataFrame | None = None, plan: str = "merge") -> DataFrame:
+def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], deal: list[str], counted: DataFrame | None = None, plan: str = "merge", least: int = SALT_ROWS) -> DataFrame:
     """left joined with right, which has few rows for a key but maybe wide ones.
 
     counted is a written table whose rows have the keys of left's (left itself, unless given); plan is the join's hint, so
     that it is the same at every size: shuffle_hash where the rows of right are narrow.
     The rows of a hot key of left are dealt out by a hash of the deal columns over as many salts as the key has
-    thousandths of all rows, or SALT_ROWS rows where that is more, and the rows of right with that key are copied to each salt. Hot keys have fewer than 2 *
+    thousandths of all rows, or least rows where that is more, and the rows of right with that key are copied to each salt. Hot keys have fewer than 2 *
     HOT_SHARE salts together. Only these keys and their salts are broadcast.
     """
     counted = left if counted is None else counted
-    per = max(rows_of(counted) / HOT_SHARE, SALT_ROWS)
+    per = max(rows_of(counted) / HOT_SHARE, least)
     counts = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = F.broadcast(counts.where(F.col("_n") > per).select(*keys, F.ceil(F.col("_n") / per).cast("int").alias("_salts")))
     many = F.coalesce("_salts", F.lit(1))

@@ -11,8 +11,8 @@ of recordings that share one of their SKETCH runs of the smallest hashes, the re
 fingerprints differ from a hub's in at most CLASS_ERROR of the bits join its class, in rounds, until one gains less than
 a hundredth of what is left; who joins none is a class of its own, which loses no match. So a group of thousands of near copies costs about a comparison for each member and round, and is searched for once. Members of a
 class are within MAX_ERROR of each other, as twice CLASS_ERROR is no more. Only representatives are then searched:
-votes come from inverted lists of runs, of which those that more than LONG representatives share are told apart by
-longer runs at the same place; no list is cut and no partner left out. Queries are the classes that hold an id divisible by
+votes come from the inverted lists of all runs, and every asking member of a list votes with every other: lists of more than
+LONG members (and a thousandth of all rows) are dealt out over several tasks, which changes nothing in what is found. Queries are the classes that hold an id divisible by
 QUERY_EVERY. Two rows of different classes can align within MAX_ERROR only if their representatives do within MAX_ERROR +
 2 * CLASS_ERROR, so pairs of representatives up to that are returned, with their errors.
 
@@ -39,7 +39,6 @@ from ._shared import erase, join_by_key, join_dealt, rows_of, small_batches, wri
 
 FRAME, HOP, RUN, QUERY_EVERY = 1024, 256, 4, 20
 MAX_ERROR, CLASS_ERROR, MIN_OVERLAP, MIN_VOTES, LONG, SKETCH = 0.2, 0.1, 32, 2, 64, 16
-LONGER = (16, 64)
 LOW_HZ, HIGH_HZ = 110.0, 1760.0
 #: (shape, first pitch class, pitch classes, frames, thresholds) of the filters.
 FILTERS = [(k % 4, (5 * k) % 12, 2 + k % 3 if k % 4 else 3, 4 + 2 * (k % 5), (-0.02, 0.0, 0.02)) for k in range(16)]
@@ -160,14 +159,12 @@ def fingerprints(df: DataFrame, key: str, media: str, decode: Callable = parse_w
     return small_batches(df).select(F.col(key).alias("id"), F.col(media)).mapInArrow(run, f"id {kind}, n long, print binary, fingerprint array<int>")
 
 
-def _runs(some: DataFrame, longer: tuple[int, ...] = ()) -> DataFrame:
-    """(run, id, at) and r_16, ...: a hash of RUN integers in a row, where it first begins, and hashes of longer runs from there."""
+def _runs(some: DataFrame) -> DataFrame:
+    """(run, id, at): a hash of RUN integers in a row, where it first begins."""
     at = F.sequence(F.lit(1), F.size("fingerprint") - (RUN - 1))
-    many = some.where(F.size("fingerprint") >= RUN)
-    from_here = lambda i, n: F.when(F.size("fingerprint") >= i + (n - 1), F.xxhash64(F.slice("fingerprint", i, n)))
-    keys = F.transform(at, lambda i: F.struct(from_here(i, RUN).alias("run"), i.alias("at"), *(from_here(i, n).alias(f"r_{n}") for n in longer)))
-    flat = many.select("id", F.explode(keys).alias("k"))
-    return flat.groupBy("k.run", "id").agg(F.min(F.struct("k.at", *(f"k.r_{n}" for n in longer))).alias("k")).select("run", "id", "k.*")
+    keys = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("fingerprint", i, RUN)).alias("run"), i.alias("at")))
+    flat = some.where(F.size("fingerprint") >= RUN).select("id", F.inline(keys))
+    return flat.groupBy("run", "id").agg(F.min("at").alias("at"))
 
 
 def _sketch(some: DataFrame) -> DataFrame:
@@ -237,33 +234,17 @@ def near_classes(prints: DataFrame, max_error: float = CLASS_ERROR) -> DataFrame
     return joined if joined is not None else prints.select("id", F.col("id").alias("leader"), F.lit(0).alias("offset"), F.lit(0.0).alias("bit_error")).limit(0)
 
 
-def _keyed(runs: DataFrame, long: int, longer: tuple[int, ...]) -> DataFrame:
-    """(key, id, at): the runs, and for those in lists of more than long members longer runs at the same place instead.
+def align(prints: DataFrame, asks: DataFrame, max_error: float = MAX_ERROR, long: int = LONG) -> DataFrame:
+    """(a, b, offset, votes, bit_error): the pairs of an asking recording and another that align; asks has the ids that ask.
 
-    All runs are joined with the sizes of their lists, one row for each list, by the same plan at every size.
+    Lists of more than long members are dealt out; the pairs are the same whatever long is.
     """
-    out, name, rest = None, "run", runs
-    for step in range(len(longer) + 1):
-        short = rest = rest.where(F.col(name).isNotNull())
-        if step < len(longer):
-            sizes = rest.groupBy(name).agg(F.count(F.lit(1)).alias("size"))
-            sized = written(rest.join(sizes.hint("merge"), name), "sized", runs)
-            short, rest = sized.where(F.col("size") <= long), sized.where(F.col("size") > long).drop("size")
-        short = short.select(F.xxhash64(F.lit(step), name).alias("key"), "id", "at")
-        out = short if out is None else out.unionByName(short)
-        name = f"r_{longer[step]}" if step < len(longer) else name
-    return out
-
-
-def align(prints: DataFrame, asks: DataFrame, max_error: float = MAX_ERROR, long: int = LONG) -> DataFrame:
-    """(a, b, offset, votes, bit_error): the pairs of an asking recording and another that align; asks has the ids that ask."""
-    runs = written(_runs(prints, LONGER), "runs")
-    keyed = written(_keyed(runs, long, LONGER), "keyed", runs)
-    left = written(keyed.join(asks, "id", "left_semi").select("key", F.col("id").alias("a"), F.col("at").alias("at_a")), "asking", keyed)
-    right = keyed.select("key", F.col("id").alias("b"), F.col("at").alias("at_b"))
-    votes = join_dealt(right, left, ["key"], ["b"], keyed).where(F.col("a") != F.col("b")).select("a", "b", (F.col("at_b") - F.col("at_a")).alias("offset"))
+    runs = written(_runs(prints), "runs")
+    left = written(runs.join(asks, "id", "left_semi").select("run", F.col("id").alias("a"), F.col("at").alias("at_a")), "asking", runs)
+    right = runs.select("run", F.col("id").alias("b"), F.col("at").alias("at_b"))
+    votes = join_dealt(right, left, ["run"], ["b"], runs, least=long).where(F.col("a") != F.col("b")).select("a", "b", (F.col("at_b") - F.col("at_a")).alias("offset"))
     pairs = written(_best_offsets(votes), "pairs")
-    erase(runs, keyed, left)
+    erase(runs, left)
     return _errors(pairs, prints).where((F.col("overlap") >= MIN_OVERLAP) & (F.col("bit_error") <= max_error)).select(*pairs.columns, "bit_error")
 
 

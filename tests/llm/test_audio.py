@@ -93,6 +93,22 @@ def test_near_copies_become_classes(spark):
     assert len(want) > 100 and kept >= 0.95 * len(want), (kept, len(want))
 
 
+def test_long_lists_lose_no_pair(spark):
+    """Recordings that share one passage, shorter than 16 integers or at the end: each asking one meets all others, whatever long is."""
+    rng = np.random.default_rng(7)
+    passage, place, rows = rng.integers(-(2**31), 2**31, 8), {}, []
+    for i in range(30):
+        fp = rng.integers(-(2**31), 2**31, 60)
+        place[i] = 52 if i == 29 else int(rng.integers(24, 50))
+        fp[place[i] : place[i] + 8] = passage
+        rows.append((i, fp.tolist()))
+    prints = spark.createDataFrame(rows, "id long, fingerprint array<int>")
+    asks = prints.where("id % 20 = 0").select("id")
+    want = {(a, b, place[b] - place[a], 5) for a in (0, 20) for b in range(30) if a != b}
+    for long in (5, audio.LONG):
+        assert {(r.a, r.b, r.offset, r.votes) for r in audio.align(prints, asks, 1.0, long).collect()} == want, long
+
+
 def test_recall_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     prints = {r.id: np.array(r.fingerprint, np.int32).view(np.uint32) for r in audio.fingerprints(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", audio.melody).collect()}
