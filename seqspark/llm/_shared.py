@@ -69,6 +69,7 @@ def written(df: DataFrame, name: str, of: DataFrame | None = None) -> DataFrame:
     if of is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-_bytes_of(of) // FILE_BYTES)))
     df.write.parquet(path)
+    _tidied(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -92,6 +93,17 @@ def _bytes_of(table: DataFrame) -> int:
     return files.getContentSummary(path).getLength()
 
 
+def _tidied(spark: SparkSession) -> None:
+    """Asks the driver's collector to look where its heap has grown over half of the limit.
+
+    In a chain of tables what lives is little, but the plans and statuses of past jobs are not collected until the heap is full,
+    and the driver holds as much memory as its heap has ever grown to; a full collection gives back what is free.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() * 2 > runtime.maxMemory():
+        spark._jvm.System.gc()
+
+
 def erase(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more; what was derived from them has been written since.
 

@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import corpus_pipeline as cp
 from seqspark.llm._shared import written
@@ -58,3 +59,25 @@ def test_odd_rows(spark):
             for r in docs.collect():  # values of other columns are the row's own
                 assert tuple(r[c] for c in ODD) == mine(r.doc_id)
         assert cp.pack(spark, docs, SF).count() == docs.count()
+
+
+class Over:
+    """Another object with some of its names replaced."""
+
+    def __init__(self, under, **names):
+        self.__dict__.update(names, under=under)
+
+    def __getattr__(self, name):
+        return getattr(self.under, name)
+
+
+def test_written_tables_ask_the_collector_where_the_heap_has_grown(spark, monkeypatch):
+    real, calls = spark._jvm, []
+    for mb in (49, 51):
+        runtime = SimpleNamespace(totalMemory=lambda mb=mb: mb, maxMemory=lambda: 100)
+        lang = Over(real.java.lang, Runtime=SimpleNamespace(getRuntime=lambda runtime=runtime: runtime))
+        jvm = Over(real, java=Over(real.java, lang=lang), System=SimpleNamespace(gc=lambda mb=mb: calls.append(mb)))
+        with monkeypatch.context() as m:
+            m.setattr(spark, "_jvm", jvm)
+            assert written(spark.range(3), "small").count() == 3
+    assert calls == [51]
