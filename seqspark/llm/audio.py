@@ -206,7 +206,8 @@ def near_classes(prints: DataFrame, max_error: float = CLASS_ERROR) -> DataFrame
         if lists.isEmpty():
             erase(runs, lists)
             break
-        members = written(join_by_key(runs, lists, ["run"], "size", rows_of(runs), "inner"), "members", runs)
+        # the same plan at every size; AQE splits the rows of a long list
+        members = written(runs.join(lists.hint("merge"), "run"), "members", runs)
         weight = members.groupBy("id").agg(F.count(F.lit(1)).alias("weight"))
         hubs = members.join(weight, "id").groupBy("run").agg(F.max(F.struct("weight", "id", "at")).alias("h"), F.max("size").alias("size"))
         hubs = written(hubs.select("run", F.col("h.id").alias("b"), F.col("h.weight").alias("rank"), F.col("h.at").alias("at_b"), "size"), "hubs", members)
