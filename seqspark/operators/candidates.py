@@ -1,6 +1,6 @@
 """Post-processing of recovered candidates of one gene: who duplicates whom, who is a module, who replaces a native.
 
-The decisions are greedy in score order, so a gene is one group of a grouped map; within it all
+The decisions are greedy in score order, so a gene is read by one task, row by row; within it all
 functions are plain and take rows in a fixed order (cluster key, then input order), never that of a hash map.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -295,20 +295,135 @@ def apply_drop(row: str, cols: set[int], dropped: set[int], length: int) -> tupl
     return out, dropped | gone
 
 
+#: Columns from 0 to this number are bits of a whole number, others members of a set.
+BIT_COLUMNS = 1 << 16
+
+
+def column_bits(cols: pa.ListArray) -> list[tuple[int, frozenset[int], int, int]]:
+    """(bits, columns that are no bits, first, last) of each list of columns; a run of columns is cut from one number."""
+    if cols.null_count or cols.flatten().null_count:
+        raise ValueError("a candidate without columns")
+    flat, ends = cols.flatten().to_numpy(), np.asarray(cols.offsets, np.int64)
+    ends = ends - ends[0]
+    steps = np.concatenate(([0], np.cumsum(np.diff(flat) != 1))) if len(flat) else np.zeros(1, np.int64)
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if a == b:
+            out.append((0, frozenset(), 0, 0))
+            continue
+        first, last = int(flat[a]), int(flat[b - 1])
+        if 0 <= first and last < BIT_COLUMNS and steps[a] == steps[b - 1]:
+            out.append((((1 << (b - a)) - 1) << first, frozenset(), first, last))
+            continue
+        some = set(flat[a:b].tolist())
+        rest = frozenset(c for c in some if not 0 <= c < BIT_COLUMNS)
+        out.append((sum(1 << c for c in some - rest), rest, min(some), max(some)))
+    return out
+
+
+class _Kept:
+    """An accepted candidate of the group that is being read; row is its place in the batch, None if that has been handed on."""
+
+    __slots__ = ("bits", "rest", "size", "first", "last", "locus", "start", "end", "covered", "tag", "partner", "row")
+
+
+def _decide(c: _Kept, kept: list[_Kept], bits: int, rest: set[int]) -> bool:
+    """Whether the next candidate is accepted; as dedup_group, which logs the reasons, decides. bits and rest are claimed columns."""
+    partner = None
+    for a in kept:
+        shared = (c.bits & a.bits).bit_count() + (len(c.rest & a.rest) if c.rest and a.rest else 0)
+        if c.locus != a.locus:
+            continue
+        touch = min(c.end, a.end) >= max(c.start, a.start)
+        if shared > MAX_CLAIMED:
+            if partner is None and not touch:
+                small, large = (c.size, a.size) if c.size < a.size else (a.size, c.size)
+                if (
+                    small >= MODULE_SIZE * large
+                    and shared >= MODULE_SMALLER * small
+                    and shared >= MODULE_LARGER * large
+                    and abs(c.start - a.start) >= MODULE_BASES
+                    and (a.covered <= 0 or c.covered >= MODULE_SCORE * a.covered)
+                ):
+                    partner = a
+            continue
+        if touch:
+            return False  # genomic or, if it breaks the order too, mono_break
+        both = min(c.last, a.last) - max(c.first, a.first) + 1
+        if max(0, both) / min(c.last - c.first + 1, a.last - a.first + 1) < MODULE_SPAN:
+            genome = (c.start > a.start) - (c.start < a.start)
+            columns = (c.first > a.first) - (c.first < a.first)
+            if genome * columns * (1 if c.locus[1] == "+" else -1) < 0:
+                return False
+    if partner is not None:
+        partner.partner, c.partner = c.tag, partner.tag
+        return True
+    return (c.bits & bits).bit_count() + len(c.rest & rest) <= min(MAX_CLAIMED, c.size * 0.5)
+
+
 def dedup_candidates(cands: DataFrame, group: list[str]) -> DataFrame:
     """Candidates (group, tag, scaffold, strand, start, end, cols, aa, full, covered, cluster) with accepted and partner.
 
     Within each group the best full score comes first, of equals the earlier by ord.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["full", "ord"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        rows = [Candidate(str(i), r.scaffold, r.strand, int(r.start), int(r.end), frozenset(map(int, r.cols)), r.aa or "", r.full, r.covered, r.cluster or "") for i, r in enumerate(pdf.itertuples(index=False))]
-        kept, _ = dedup_group(rows)
-        partner = {int(c.tag): c.partner for c in kept}
-        pdf["accepted"] = [i in partner for i in range(len(pdf))]
-        pdf["partner"] = [None if partner.get(i) is None else pdf["tag"].iat[int(partner[i])] for i in range(len(pdf))]
-        return pdf[[*group, "tag", "accepted", "partner"]]
 
+    Groups are read one after the other from sorted partitions, many in a batch; a task holds a batch and the accepted
+    candidates of one group.
+    """
+    n = len(group)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        key, kept, bits, rest, late = None, [], 0, set(), []
+        names, types = [*group, "tag", "accepted", "partner"], None
+
+        def close(partners: list) -> None:
+            for a in kept:
+                if a.row is None:
+                    late.append((*key[1], a.tag, True, a.partner))
+                else:
+                    partners[a.row] = a.partner
+
+        def handed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*late, strict=True), types, strict=True)], names)
+            late.clear()
+            return out
+
+        for batch in batches:
+            tags, (scaffolds, strands, starts, ends, covers) = batch.column(n), (batch.column(n + 1 + i).to_pylist() for i in range(5))
+            types = [*batch.schema.types[: n + 1], pa.bool_(), pa.string()]
+            accepted, partners, told = [False] * batch.num_rows, [None] * batch.num_rows, np.ones(batch.num_rows, bool)
+            groups, names_of = zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True), tags.to_pylist()
+            for row, (g, cols) in enumerate(zip(groups, column_bits(batch.column(n + 6)), strict=True)):
+                this = tuple("nan" if isinstance(v, float) and v != v else v for v in g)
+                if key is None or key[0] != this:
+                    if key is not None:
+                        close(partners)
+                    key, kept, bits, rest = (this, g), [], 0, set()
+                c = _Kept()
+                c.bits, c.rest, c.first, c.last = cols
+                c.size, c.locus, c.start, c.end, c.covered = c.bits.bit_count() + len(c.rest), (scaffolds[row], strands[row]), starts[row], ends[row], covers[row]
+                c.covered = float("nan") if c.covered is None else c.covered
+                c.tag, c.partner, c.row = names_of[row], None, row
+                if _decide(c, kept, bits, rest):
+                    accepted[row] = True
+                    kept.append(c)
+                    bits |= c.bits
+                    rest |= c.rest
+            for a in kept:  # their partners may change with the next batch
+                if a.row is not None:
+                    told[a.row], a.row = False, None
+            whole = [*batch.columns[: n + 1], pa.array(accepted, pa.bool_()), pa.array(partners, pa.string())]
+            yield pa.RecordBatch.from_arrays(whole, names).filter(pa.array(told))
+            if late:
+                yield handed()
+        if key is not None:
+            close([])
+            if late:
+                yield handed()
+
+    score = F.col("full")
+    if cands.schema["full"].dataType.typeName() in ("double", "float"):
+        score = F.when(~F.isnan("full"), score)  # after all numbers, as those without a score
+    ordered = cands.withColumn("_full", score).repartition(*group).sortWithinPartitions(*group, F.col("_full").desc_nulls_last(), F.col("ord").asc_nulls_last())
+    lean = ordered.select(*group, F.col("tag").cast("string"), "scaffold", "strand", F.col("start").cast("long"), F.col("end").cast("long"), F.col("covered").cast("double"), F.col("cols").cast("array<long>"))
     kinds = ", ".join(f"`{g}` {cands.schema[g].dataType.simpleString()}" for g in group)
-    return cands.groupBy(*group).applyInPandas(run, f"{kinds}, tag string, accepted boolean, partner string")
+    return lean.mapInArrow(run, f"{kinds}, tag string, accepted boolean, partner string")

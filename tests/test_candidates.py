@@ -83,3 +83,38 @@ def test_frames(spark):
     df = spark.createDataFrame(rows, "gene string, ord int, tag string, scaffold string, strand string, start long, end long, cols array<int>, aa string, full double, covered double, cluster string")
     got = {r.tag: (r.accepted, r.partner) for r in C.dedup_candidates(df, ["gene"]).collect()}
     assert got == {"late": (False, None), "a": (True, "b"), "b": (True, "a")}
+
+
+def test_groups_are_read_in_batches(spark):
+    """Groups larger than an Arrow batch, and many in one, decided as by dedup_group, without a call for each."""
+    rng = random.Random(4)
+    rows, want = [], {}
+    for g, n in enumerate([1, 2, 60, 90, 3, 40, 150, 5]):
+        some = []
+        for i in range(n):
+            first, size, start = rng.randint(-5, 120), rng.randint(0, 40), rng.randint(0, 5000)
+            cols = sorted(range(first, first + size) if rng.random() < 0.6 else rng.sample(range(first, first + 60), size))
+            cols = [c + 70_000 for c in cols] if rng.random() < 0.1 else cols
+            where = (rng.choice("stuvwxyz"), rng.choice("+-"))
+            if i % 3 == 1:  # the columns of the one before, elsewhere on its scaffold
+                cols, where, start = some[-1][7], some[-1][3:5], some[-1][6] + rng.randint(1, 400)
+            some.append((f"g{g}", i, f"t{g}_{i}", *where, start, start + rng.randint(3, 150), cols, "", float(rng.randint(0, 30)), float(rng.randint(-5, 50)), "1"))
+        rng.shuffle(some)
+        rows += some
+        best = sorted(some, key=lambda r: (-r[9], r[1]))
+        kept, _ = C.dedup_group([C.Candidate(r[2], r[3], r[4], r[5], r[6], frozenset(r[7]), full=r[9], covered=r[10]) for r in best])
+        partner = {c.tag: c.partner for c in kept}
+        want |= {r[2]: (r[2] in partner, partner.get(r[2])) for r in some}
+    df = spark.createDataFrame(rows, "gene string, ord int, tag string, scaffold string, strand string, start long, end long, cols array<int>, aa string, full double, covered double, cluster string")
+    assert sum(p is not None for _, p in want.values()) > 5
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(limit)
+    try:
+        for n in ("7", old):
+            spark.conf.set(limit, n)
+            out = C.dedup_candidates(df, ["gene"])
+            got = out.collect()
+            assert len(got) == len(rows) and {r.tag: (r.accepted, r.partner) for r in got} == want
+            assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set(limit, old)
