@@ -96,3 +96,33 @@ def test_gff(spark, tmp_path):
     assert {r.name for r in inside.collect()} == {"n4", "e1", "e2"}
     names = {r.name: (r.start, r.end, r.strand) for r in text.read_gff(spark, str(p)).collect()}
     assert names["n2"] == (1000, 1299, "-") and len(names) == 7
+
+
+@pytest.mark.parametrize("n_refs", [0, 2, 9])
+def test_genes_are_cleaned_in_slices(spark, monkeypatch, n_refs):
+    """Genes dealt out over groups and slices, with columns that only candidates fill, as cleaned whole."""
+    rng = random.Random(n_refs)
+    rows = []
+    for g in range(3):
+        ref = base(150, g)
+        gaps = set(range(60, 85)) if g < 2 else set()
+        for i in range(60):
+            is_ref = i < n_refs
+            s = "".join("-" if (j in gaps and (is_ref or rng.random() < 0.3)) or rng.random() < 0.1 else rng.choice(AA + "*") if rng.random() < 0.2 else c for j, c in enumerate(ref))
+            a, b = rng.randint(0, 60), rng.randint(90, 150)
+            s = s if is_ref else "-" * a + s[a:b] + "-" * (150 - b)
+            nt = "".join(rng.choice("ACGT") for _ in range(3 * 150)) if i % 2 else None
+            rows.append((f"g{g}" if g else None, i, f"h{i % 50}" + ("|." if is_ref else ""), s, nt))
+    df = spark.createDataFrame(rows, "gene string, ord long, header string, seq string, nt string")
+    monkeypatch.setattr(cull, "DEALT_ROWS", 10)
+    monkeypatch.setattr(cull, "SLICE_CELLS", 700)
+    out = cull.cull_columns(df)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    got = {(r.gene, r.ord): (r.header, r.seq, r.drops, r.left_trim, r.right_trim, [tuple(x) for x in r.introns], [tuple(x) for x in r.exons]) for r in out.collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == g]
+        for r, c in zip(mine, cull.cull_alignment([r[2] for r in mine], [r[3] for r in mine], {r[2]: r[4] for r in mine}), strict=True):
+            want[g, r[1]] = (r[2], c.seq, c.drops, *(c.trim or (None, None)), c.introns, c.exons)
+    assert got == want
+    assert not n_refs or any(w[5] for w in want.values())
