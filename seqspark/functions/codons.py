@@ -6,11 +6,13 @@ of three bases, for a whole sequence at once, in an Arrow function: a lambda ove
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASES = "TCAG"
@@ -55,11 +57,16 @@ def residue_table(table: int = 1, uracil: bool = True) -> tuple[np.ndarray, np.n
     return code, residues
 
 
-def residues_of(seq: str, code: np.ndarray, residues: np.ndarray, skip: int = 0) -> np.ndarray:
-    """The residues, as bytes, of a sequence from a base on."""
+def triples_of(seq: str, code: np.ndarray, skip: int = 0) -> np.ndarray:
+    """The place in a residue table of each codon of a sequence from a base on."""
     x = code[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)[skip:]]
     n = len(x) // 3 * 3
-    return residues[x[0:n:3] * 25 + x[1:n:3] * 5 + x[2:n:3]]
+    return x[0:n:3] * 25 + x[1:n:3] * 5 + x[2:n:3]
+
+
+def residues_of(seq: str, code: np.ndarray, residues: np.ndarray, skip: int = 0) -> np.ndarray:
+    """The residues, as bytes, of a sequence from a base on."""
+    return residues[triples_of(seq, code, skip)]
 
 
 def translate(seq: Column, table: int = 1, uracil: bool = True) -> Column:
@@ -76,6 +83,42 @@ def translate(seq: Column, table: int = 1, uracil: bool = True) -> Column:
     return run(seq)
 
 
+#: Residues of a batch that translate_all returns, about.
+BATCH_RESIDUES = 4 << 20
+
+
+def translate_all(df: DataFrame, key: str, seq: str, tables: list[int]) -> DataFrame:
+    """(key, code, aa): each sequence by each of the tables; none of a null one. A sequence is read once, and a worker holds few of its results."""
+    code = residue_table()[0]
+    every = [(t, residue_table(t)[1]) for t in tables]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            at, codes, found, n = [], [], [], 0
+            kind = pa.int32()
+
+            def handed(batch: pa.RecordBatch, at: list, codes: list, found: list) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(codes, kind), pa.array(found, pa.string())], [key, "code", "aa"])
+
+            for i, x in enumerate(batch.column(1)):
+                x = x.as_py()
+                if x is None:
+                    continue
+                triples = triples_of(x, code)
+                for t, residues in every:
+                    at.append(i)
+                    codes.append(t)
+                    found.append(residues[triples].tobytes().decode())
+                    n += len(triples)
+                    if n >= BATCH_RESIDUES:
+                        yield handed(batch, at, codes, found)
+                        at, codes, found, n = [], [], [], 0
+            if at:
+                yield handed(batch, at, codes, found)
+
+    return df.select(key, seq).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, code int, aa string")
+
+
 def trim_to_codon(seq: Column) -> Column:
     return F.substring(seq, F.lit(1), F.length(seq) - F.length(seq) % 3)
 

@@ -39,8 +39,7 @@ _TABLES = [t for t in codons.CHANGES if t > 2]
 
 @query("translate_tables", f"WITH {V.NT} " + " UNION ALL ".join(f"SELECT doc_id, {t} AS code, {V.aa_sql('nt', t)} AS aa FROM nt" for t in _TABLES))
 def translate_tables(spark, sf):
-    every = F.array(*(F.struct(F.lit(t).alias("code"), codons.translate(F.col("nt"), t).alias("aa")) for t in _TABLES))
-    return V.nt(spark, sf).select("doc_id", F.inline(every))
+    return codons.translate_all(V.nt(spark, sf), "doc_id", "nt", _TABLES)
 
 
 @query(

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from seqspark.functions import codons
 from seqspark.functions.views import NT_SQL, nucleotides
-from seqspark.session import table
+from seqspark.session import small_batches, table
 
 
 def nt(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, source, lang, n_chars, nt)."""
-    return table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", nucleotides(F.coalesce("text", F.lit(""))).alias("nt"))
+    """(doc_id, source, lang, n_chars, nt). Whole texts go to Python in small batches."""
+    return small_batches(table(spark, sf, "documents")).select("doc_id", "source", "lang", "n_chars", nucleotides(F.coalesce("text", F.lit(""))).alias("nt"))
 
 
 NT = f"nt AS (SELECT doc_id, source, lang, n_chars, {NT_SQL} AS nt FROM documents)"

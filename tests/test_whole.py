@@ -139,3 +139,18 @@ def test_supersede_natives_on_both_strands_and_slots(spark):
                         want.append((f"n_{i}_{line}", gi % 6 == 0, f"{'GAP' if gi % 6 else 'IMX'}_{gi}_{gline}"))
     assert any(slot for _, slot, _ in want)
     assert run(spark, "supersede_natives", SF) == values(["name", "superseded", "tag"], want)
+
+
+def test_all_tables_in_small_batches(spark, monkeypatch):
+    """Each text by each table, handed on in parts, and whole texts to Python a few at a time."""
+    monkeypatch.setattr(codons, "BATCH_RESIDUES", 50)
+    rng = random.Random(3)
+    seqs = ["".join(rng.choices("ACGTN", k=n)) for n in (0, 2, 3, 30, 400)] + [None]
+    df = spark.createDataFrame(list(enumerate(seqs)), "k long, s string")
+    got = codons.translate_all(df, "k", "s", [1, 2, 33]).collect()
+    want = {(k, t): "".join(codons.genetic_code(t).get(s[i : i + 3], "X") for i in range(0, len(s) - 2, 3)) for k, s in enumerate(seqs) if s is not None for t in (1, 2, 33)}
+    assert len(got) == len(want) and {(r.k, r.code): r.aa for r in got} == want
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(limit, "10000")
+    plan = registry.queries()["translate_tables"](spark, SF)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and int(spark.conf.get(limit)) <= 1000
