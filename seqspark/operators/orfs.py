@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +14,14 @@ from seqspark.functions import sequences as S
 ORF = "array<struct<aa:string,frame:int,nt_start:int,nt_end:int,nt:string>>"
 
 
-def stretches(seq: str, min_aa: int, require_start: bool, code: np.ndarray, residues: np.ndarray) -> list[dict]:
-    """The reading frames of one sequence: all stops of a frame are found at once."""
-    out = []
+_FIELDS = [("aa", pa.string()), ("frame", pa.int32()), ("nt_start", pa.int32()), ("nt_end", pa.int32()), ("nt", pa.string())]
+#: Bases of sequences whose reading frames are held as objects of Python, about.
+SLICE_BASES = 1 << 20
+
+
+def stretches(seq: str, min_aa: int, require_start: bool, code: np.ndarray, residues: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """The reading frames of one sequence, field by field: all stops of a frame are found at once."""
+    whole, places = [], []
     for f in range(3):
         aa = codons.residues_of(seq, code, residues, f)
         stops = np.flatnonzero(aa == ord("*"))
@@ -24,11 +29,27 @@ def stretches(seq: str, min_aa: int, require_start: bool, code: np.ndarray, resi
         if require_start:  # the first M from each begin on
             starts = np.append(np.flatnonzero(aa == ord("M")), len(aa))
             begins = starts[np.searchsorted(starts, begins)]
-        for i in np.flatnonzero((ends - begins >= min_aa) & (ends > begins)).tolist():
-            a, b = int(begins[i]), int(ends[i])
-            out.append({"aa": aa[a:b].tobytes().decode(), "frame": f, "nt_start": f + 3 * a, "nt_end": f + 3 * b, "nt": seq[f + 3 * a : f + 3 * b]})
-    out.sort(key=lambda o: (-len(o["aa"]), o["frame"], o["nt_start"]))
-    return out
+        some = (ends - begins >= min_aa) & (ends > begins)
+        places.append(np.stack([np.full(int(some.sum()), f), begins[some], ends[some]]))
+        whole.append(aa.tobytes().decode())
+    frame, a, b = np.concatenate(places, 1)
+    start, end = frame + 3 * a, frame + 3 * b
+    order = np.lexsort((start, frame, a - b))
+    frame, a, b, start, end = (x[order] for x in (frame, a, b, start, end))
+    found = [whole[f][i:j] for f, i, j in zip(frame.tolist(), a.tolist(), b.tolist(), strict=True)]
+    return found, frame, start, end, [seq[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+
+
+def _listed(seqs: list[str | None], *how) -> pa.ListArray:
+    """The reading frames of some sequences, as one Arrow array."""
+    each = [None if x is None else stretches(x, *how) for x in seqs]
+    full = [e for e in each if e is not None]
+    fields = []
+    for i, (_, kind) in enumerate(_FIELDS):
+        fields.append(pa.array([x for e in full for x in e[i]] if kind == pa.string() else np.concatenate([np.zeros(0, int), *(e[i] for e in full)]).astype(np.int32), kind))
+    ends = np.cumsum([0, *(0 if e is None else len(e[0]) for e in each)])
+    offsets = pa.array(ends.astype(np.int32), mask=np.array([*(e is None for e in each), False]))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=[pa.field(*f) for f in _FIELDS]))
 
 
 def orfs(seq: Column, min_aa: int, require_start: bool = False) -> Column:
@@ -39,9 +60,16 @@ def orfs(seq: Column, min_aa: int, require_start: bool = False) -> Column:
     """
     code, residues = codons.residue_table(1, uracil=False)
 
-    @F.pandas_udf(ORF)
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else stretches(x, min_aa, require_start, code, residues) for x in s], dtype=object)
+    @F.arrow_udf(ORF)
+    def run(s: pa.Array) -> pa.Array:
+        out, some, n = [], [], 0
+        for x in s:
+            some.append(x.as_py())
+            n += len(some[-1] or "")
+            if n >= SLICE_BASES:
+                out.append(_listed(some, min_aa, require_start, code, residues))
+                some, n = [], 0
+        return pa.concat_arrays([*out, _listed(some, min_aa, require_start, code, residues)])
 
     return run(seq)
 

@@ -7,8 +7,11 @@ import re
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from seqspark.functions import codons
 from seqspark.functions.views import BASES, LETTERS
+from seqspark.operators import orfs
 from seqspark.plans import registry
 from seqspark.plans import views as V
 
@@ -154,3 +157,20 @@ def test_all_tables_in_small_batches(spark, monkeypatch):
     spark.conf.set(limit, "10000")
     plan = registry.queries()["translate_tables"](spark, SF)._jdf.queryExecution().toString()
     assert "ArrowEvalPython" not in plan and int(spark.conf.get(limit)) <= 1000
+
+
+@pytest.mark.parametrize("bases", [1, 500])
+def test_reading_frames_in_slices(spark, monkeypatch, bases):
+    """A worker holds the frames of few sequences as objects, and an empty or null one among them changes nothing."""
+    monkeypatch.setattr(orfs, "SLICE_BASES", bases)
+    rng = random.Random(8)
+    seqs = [None, "", "ACG", None] + ["".join(rng.choices("ACGTN", [4, 4, 4, 4, 1], k=rng.randint(5, 900))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "k long, s string").coalesce(1)
+    for start in (False, True):
+        got = {r.k: r.o for r in df.select("k", orfs.orfs(F.col("s"), 3, start).alias("o")).collect()}
+        for k, s in enumerate(seqs):
+            if s is None:
+                assert got[k] is None
+                continue
+            want = sorted(((aa, f, at, at + 3 * len(aa), s[at : at + 3 * len(aa)]) for f, aa, at in frames(s, 3, start)), key=lambda o: (-len(o[0]), o[1], o[2]))
+            assert [tuple(o) for o in got[k]] == want
