@@ -174,3 +174,8 @@ def test_reading_frames_in_slices(spark, monkeypatch, bases):
                 continue
             want = sorted(((aa, f, at, at + 3 * len(aa), s[at : at + 3 * len(aa)]) for f, aa, at in frames(s, 3, start)), key=lambda o: (-len(o[0]), o[1], o[2]))
             assert [tuple(o) for o in got[k]] == want
+
+
+def test_orf_locations_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(orfs, "SLICE_BASES", 100)
+    against_sql(spark, "orf_locations")
