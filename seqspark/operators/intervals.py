@@ -40,10 +40,11 @@ def nearest(queries: DataFrame, exons: DataFrame, keys: list[str], at: str, side
     if side == "right":
         marks = exons.select(*keys, F.col("start").alias("_p"), F.col("start").alias("_v"), F.lit(1).alias("_o"))
         asks = queries.select("*", F.col(at).alias("_p"), F.lit(None).cast(exons.schema["start"].dataType).alias("_v"), F.lit(2).alias("_o"))
-        w = W.partitionBy(*keys).orderBy(F.col("_p"), F.col("_o")).rowsBetween(1, W.unboundedFollowing)
-        found = F.first("_v", ignorenulls=True).over(w)
+        # read from the right, where the last start met is the nearest: a frame that ends at the last row is summed anew for each row
+        w = W.partitionBy(*keys).orderBy(F.col("_p").desc(), F.col("_o").desc()).rowsBetween(W.unboundedPreceding, -1)
+        found = F.when(F.col("_p").isNotNull(), F.last("_v", ignorenulls=True).over(w))
         both = asks.unionByName(marks, allowMissingColumns=True)
-        # an exon that starts at the position itself does not count: it sorts before the query
+        # an exon that starts at the position itself does not count: it is met after the query
         return both.withColumn("bound", found).where("_o = 2").select(*queries.columns, "bound")
     # going back by start, an exon that ends before the position is always met before those that start earlier;
     # of the exons that start at or before it, the last by start among those with end < position
