@@ -105,15 +105,31 @@ def qualify_gap(start: Column, end: Column, ref_gap_before: Column, low: int = 1
     return F.when((effective >= low) & (effective < high), F.struct(effective.alias("effective"), F.greatest(F.lit(10), F.floor(effective / 2)).alias("min_aa")))
 
 
+#: Ranges are merged first among those that start in one stretch of the genome of this length.
+STRETCH = 1 << 17
+
+
+def merged(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lo, hi): ranges of equal keys that meet, put together."""
+    w = W.partitionBy(*keys).orderBy("lo", "hi")
+    new = F.coalesce((F.col("lo") > F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    marked = ranges.withColumn("_new", new).withColumn("_b", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, "_b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_b")
+
+
 def needed_ranges(nodes: DataFrame, cluster_keys: list[str], margin: int = 8, flank: int = 15000) -> DataFrame:
-    """(scaffold, lo, hi): 0-based half-open spans of the genome that the clusters' gaps and flanks need, merged."""
-    spans = nodes.groupBy(*cluster_keys, "scaffold").agg(F.min("start").alias("s"), F.max("end").alias("e"))
+    """(scaffold, lo, hi): 0-based half-open spans of the genome that the clusters' gaps and flanks need, merged.
+
+    Each step is dealt out over all shuffle partitions: left to their size, few tasks would sort many millions of rows each. A
+    scaffold's ranges are merged by stretches first, and what these leave by scaffold.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = nodes.select(*dict.fromkeys([*cluster_keys, "scaffold", "start", "end"])).repartition(n, *cluster_keys, "scaffold")
+    spans = ends.groupBy(*cluster_keys, "scaffold").agg(F.min("start").alias("s"), F.max("end").alias("e"))
     halo = margin + flank
     wide = spans.select("scaffold", F.greatest(F.lit(0).cast("long"), F.col("s") - halo).alias("lo"), (F.col("e") + halo).alias("hi"))
-    w = W.partitionBy("scaffold").orderBy("lo", "hi")
-    new = F.coalesce((F.col("lo") > F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(1))
-    marked = wide.withColumn("_new", new).withColumn("_b", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy("scaffold", "_b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_b")
+    near = merged(wide.withColumn("_at", F.floor(F.col("lo") / STRETCH)).repartition(n, "scaffold", "_at"), ["scaffold", "_at"])
+    return merged(near.drop("_at").repartition(n, "scaffold"), ["scaffold"])
 
 
 def fetch_ranges(ranges: DataFrame, chunks: DataFrame, size: int = 65536) -> DataFrame:
