@@ -1,12 +1,17 @@
 """Aggregates over the columns of alignments, each a group of rows of equal width.
 
-Rows are cut into (column, symbol) cells whose counts are summed in the tasks before any shuffle, so an
-alignment of any depth moves at most its width times the alphabet. Results are one row for a group.
+Counts of (column, symbol) cells are summed in the tasks before any shuffle, those of whole alignments over arrays of
+cells, so an alignment of any depth moves at most its width times the alphabet. Results are one row for a group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqspark.functions import blosum
@@ -24,48 +29,115 @@ def cells(rows: DataFrame, group: str, seq: str = "seq", span: bool = True, *ext
     return rows.select(group, *extra, F.posexplode(parts).alias("col", "ch"))
 
 
-def widths(rows: DataFrame, group: str, seq: str = "seq", order: str | None = None) -> DataFrame:
-    """(group, width): the length of the group's first row."""
-    n = F.length(seq)
-    return rows.groupBy(group).agg((F.min_by(n, order) if order else F.max(n)).alias("width"))
+#: Counts that a task holds of several groups.
+HELD_COUNTS = 1 << 21
+#: Symbols whose counts a consensus needs: - and * are one, which sorts after the letters.
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ~"
+_GAP = ord("-")
+
 
+def _counted(rows: DataFrame, group: str, seq: str, count: Callable[[np.ndarray, np.ndarray], np.ndarray], weight: Column | None = None) -> DataFrame:
+    """(group, col, k, n): count(cells, weights), an array over columns and k, summed over the rows of a group within a task.
 
-def _assembled(found: DataFrame, wide: DataFrame, group: str, out: str) -> DataFrame:
-    """Columns (col, ch) put in order over the width, X where a column is missing."""
-    maps = found.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("col", "ch"))).alias("m"))
+    A row with col -1 and k the width comes with each width of a group. Null sequences do not count.
+    """
+    used = rows.select(group, F.col(seq).alias("_s"), F.coalesce(weight.cast("long") if weight is not None else F.lit(1).cast("long"), F.lit(0)).alias("_w"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: dict = {}
+
+        def handed(schema: pa.Schema) -> pa.RecordBatch:
+            genes, parts = [], []
+            for (gene, width), counts in held.items():
+                col, k = np.nonzero(counts)
+                parts.append(np.stack([np.append(col, -1), np.append(k, width), np.append(counts[col, k], 1)]))
+                genes += [gene] * parts[-1].shape[1]
+            held.clear()
+            col, k, n = np.concatenate(parts, 1)
+            return pa.RecordBatch.from_arrays([pa.array(genes, schema.field(0).type), pa.array(col.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(n)], [group, "col", "k", "n"])
+
+        schema = None
+        for batch in batches:
+            schema, where = batch.schema, {}
+            seqs, weights = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            for i, (gene, s) in enumerate(zip(batch.column(0).to_pylist(), seqs, strict=True)):
+                if s is not None:
+                    where.setdefault((gene, len(s)), []).append(i)
+            for key, at in where.items():
+                cells = np.frombuffer("".join([seqs[i] for i in at]).encode("latin-1", "replace"), np.uint8).reshape(len(at), key[1])
+                found = count(cells, weights[at])
+                held[key] = held[key] + found if key in held else found
+            if len(held) > 64 and sum(c.size for c in held.values()) > HELD_COUNTS:
+                yield handed(schema)
+        if held:
+            yield handed(schema)
+
+    return used.mapInArrow(run, f"`{group}` {rows.schema[group].dataType.simpleString()}, col int, k int, n long")
+
+
+def _symbols(cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weights of each of SYMBOLS in the columns of each row's span; a row of gaps has the span of one column."""
+    full = cells != _GAP
+    width, some = cells.shape[1], full.any(1)
+    if not width:
+        return np.zeros((0, len(SYMBOLS)), np.int64)
+    first = np.where(some, full.argmax(1), 0)
+    last = np.where(some, width - full[:, ::-1].argmax(1), 1)
+    col = np.arange(width)
+    row, at = np.nonzero((col >= first[:, None]) & (col < last[:, None]))
+    which = cells[row, at].astype(np.int64) - ord("A")
+    out = np.zeros(width * len(SYMBOLS), np.int64)
+    np.add.at(out, at * len(SYMBOLS) + np.where((which >= 0) & (which < 26), which, 26), weights[row])
+    return out.reshape(width, -1)
+
+
+def _assembled(best: DataFrame, group: str, out: str) -> DataFrame:
+    """Columns (col, ch) put in order over the width, X where a column is missing; the width comes with col -1."""
+    maps = best.groupBy(group).agg(F.max("width").alias("width"), F.map_from_entries(F.collect_list(F.when(F.col("col") >= 0, F.struct("col", "ch")))).alias("m"))
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.element_at("m", i), F.lit("X"))), "")
-    return wide.join(maps, group, "left").select(group, F.when(F.col("width") > 0, text).otherwise("").alias(out))
+    return maps.select(group, F.when(F.col("width") > 0, text).otherwise("").alias(out))
 
 
 def consensus(rows: DataFrame, group: str, threshold: float, min_depth: int = 0, seq: str = "seq", weight: str | None = None, order: str | None = None) -> DataFrame:
     """(group, consensus): per column the symbol with the largest share of the weights, if over the threshold, else X.
 
     - and * count as one symbol, which ranks after the letters in ties; columns of less weight than
-    min_depth (or none) give X. Symbols other than capitals, - and * raise an error.
+    min_depth (or none) give X. Symbols other than capitals, - and * raise an error. It is as wide as the widest row or, with
+    an order, as the first.
     """
-    w = F.col(weight) if weight else F.lit(1)
     good = F.when(F.col(seq).rlike("^[A-Z*-]*$"), F.col(seq)).otherwise(S._fail("an alignment symbol is not a capital, - or *", "string"))
-    some = cells(rows.select(group, good.alias("s"), w.cast("long").alias("_w")), group, "s", True, "_w")
-    counts = some.groupBy(group, "col", F.when(F.col("ch").isin("-", "*"), "~").otherwise(F.col("ch")).alias("b")).agg(F.sum("_w").alias("n"))
+    given = rows.withColumn(seq, good)
+    some = _counted(given, group, seq, _symbols, F.col(weight) if weight else None)
+    counts = some.groupBy(group, "col", "k").agg(F.sum("n").alias("n"))
     # the largest count, of equals the first letter: the gap sign sorts after Z
-    best = counts.groupBy(group, "col").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.min_by("b", F.struct(-F.col("n"), "b")).alias("b"))
-    winner = F.when((F.col("total") >= max(1, min_depth)) & (F.col("top") / F.col("total") > threshold), F.translate("b", "~", "-")).otherwise("X")
-    wide = widths(rows, group, seq, order)
-    return _assembled(best.select(group, "col", winner.alias("ch")), wide, group, "consensus")
+    best = counts.groupBy(group, "col").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.min_by("k", F.struct(-F.col("n"), "k")).alias("k"), F.max("k").alias("width"))
+    letter = F.translate(F.substring(F.lit(SYMBOLS), F.col("k") + 1, F.lit(1)), "~", "-")
+    winner = F.when((F.col("total") >= max(1, min_depth)) & (F.col("top") / F.col("total") > threshold), letter).otherwise("X")
+    wide = F.when(F.col("col") < 0, F.col("width")).alias("width")
+    if order is None:
+        return _assembled(best.select(group, "col", winner.alias("ch"), wide), group, "consensus")
+    first = rows.groupBy(group).agg(F.min_by(F.length(seq), order).alias("width")).select(group, F.lit(-1).alias("col"), F.lit("X").alias("ch"), "width")
+    return _assembled(best.where("col >= 0").select(group, "col", winner.alias("ch"), wide).unionByName(first), group, "consensus")
+
+
+def _filled(rows: DataFrame, group: str, seq: str) -> DataFrame:
+    """(group, col): the columns in which some row has no gap."""
+    found = _counted(rows, group, seq, lambda cells, _: (cells != _GAP).any(0)[:, None].astype(np.int64))
+    return found.where("col >= 0").select(group, "col").distinct()
 
 
 def empty_columns(rows: DataFrame, group: str, seq: str = "seq") -> DataFrame:
     """(group, keep): the columns, in order, in which some row has no gap."""
-    kept = cells(rows, group, seq, False).where("ch <> '-'").groupBy(group, "col").agg(F.count(F.lit(1)).alias("n"))
-    return kept.groupBy(group).agg(F.array_sort(F.collect_list("col")).alias("keep"))
+    return _filled(rows, group, seq).groupBy(group).agg(F.array_sort(F.collect_list("col")).alias("keep"))
 
 
 def drop_empty_columns(rows: DataFrame, group: str, seq: str = "seq") -> DataFrame:
     """The rows without the columns that are gaps in all of them."""
-    keep = empty_columns(rows, group, seq)
-    # the symbols are cut once and picked by place, the kept columns of a group travel as one array
-    parts = S.chars(F.col(seq))
-    text = F.array_join(F.filter(F.transform(F.col("keep"), lambda i: F.get(parts, i)), lambda c: c.isNotNull()), "")
+    # kept columns travel as the stretches that they form, and a row is put together of so many parts
+    place = F.col("col") - F.row_number().over(W.partitionBy(group).orderBy("col"))
+    each = _filled(rows, group, seq).withColumn("_k", place).groupBy(group, "_k").agg(F.min("col").alias("at"), F.count(F.lit(1)).cast("int").alias("n"))
+    keep = each.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("keep"))
+    text = F.array_join(F.transform("keep", lambda r: F.substring(F.col(seq), r["at"] + 1, r["n"])), "")
     return rows.join(keep, group, "left").withColumn(seq, F.coalesce(text, F.lit(""))).drop("keep")
 
 
