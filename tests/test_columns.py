@@ -51,3 +51,12 @@ def test_columns_are_counted_by_arrays(spark, genes, monkeypatch):
     assert {r.gene: r.consensus for r in cons.collect()} == {g: "".join(best(g, i) for i in range(n)) for g, n in width.items()}
     first = C.consensus(df, "gene", 0.3, weight="weight", order="ord")
     assert sorted(first.collect()) == sorted(cons.collect())
+
+
+def test_converted_consensus(spark):
+    """Columns that all rows lack, at the start, in a short run and in a long one, without a row for each cell."""
+    rows = [("g", "--AC-----GA---------CC-"), ("g", "--AC-----GA---------CC-"), ("g", "-----------------------")]
+    df = spark.createDataFrame(rows, "gene string, seq string")
+    out = C.convert_consensus(df, C.consensus(df, "gene", 0.5), "gene")
+    assert [tuple(r) for r in out.collect()] == [("g", "--AC-----GA?????????CCX")]
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
